@@ -50,11 +50,13 @@ def query_tokens(tokens: Column) -> Column:
 def ngrams(term: Column, sizes: tuple[int, ...]) -> Column:
     """Distinct character n-grams of the term with a space at either end."""
     padded = F.concat(F.lit(" "), term, F.lit(" "))
-    grams = [
+
+    def slide(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(padded) - (n - 1))
         # sequence() counts down when its end is below its start: guard short terms
-        F.when(F.char_length(padded) >= n, F.transform(F.sequence(F.lit(1), F.char_length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
+        return F.when(F.char_length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = [slide(n) for n in sizes]
     return F.array_distinct(F.filter(F.concat(*grams), lambda g: F.trim(g) != ""))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, similarity, text
@@ -74,7 +74,7 @@ def candidates(index: Index, tokens: DataFrame, small: bool, scan: bool) -> Data
     exact = g.filter("exact_freq is not null").select(*keys, F.col("token").alias("term"), F.col("exact_freq").alias("doc_freq"), F.lit(0).alias("place"), F.lit(1.0).alias("confidence"))
     wanted = g.filter("fuzzy")
     near = fuzzy_terms(index, wanted.select("site_id", "token").distinct(), scan).filter("term <> token")
-    more = wanted.join(near, ["site_id", "token"]).select(*keys, "term", near["doc_freq"], "place", "confidence")
+    more = wanted.join(near, ["site_id", "token"]).select(*keys, "term", "doc_freq", "place", "confidence")
     return exact.unionByName(more)
 
 
@@ -97,8 +97,14 @@ def score(index: Index, found: DataFrame, small: bool, allowed: DataFrame | None
     return per_doc.filter("n = n_tokens").select(*keys, (F.col("score") * boost).alias("score"))
 
 
+def by_score() -> list[Column]:
+    """Best first. Sums of floats differ in their last bits with the order of their
+    parts, so scores that agree to nine decimals tie, and ties go to the least id."""
+    return [F.desc(F.round("score", 9)), F.col("element_id")]
+
+
 def ranked(scores: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id", "site_id").orderBy(F.desc("score"), "element_id")
+    order = Window.partitionBy("query_id", "site_id").orderBy(*by_score())
     return scores.withColumn("rank", F.row_number().over(order))
 
 
@@ -134,10 +140,10 @@ def search(index: Index, query: str | None, site_id: int = 1, allowed: DataFrame
         return spark.createDataFrame([], columns)
     found = spark.createDataFrame(rows, "query_id int, site_id int, n_tokens int, term_index int, term string, doc_freq bigint, place int, confidence double")
     part = Index(index.postings.filter((F.col("site_id") == site_id) & F.col("term").isin(terms)), index.doc_stats, index.term_dict, index.settings)
-    scores = score(part, found, True, allowed).orderBy(F.desc("score"), "element_id")
+    scores = score(part, found, True, allowed).orderBy(*by_score())
     if limit is not None or offset:  # only so many rows get to the single partition that numbers them
         scores = scores.limit(offset + limit) if limit is not None else scores
-    out = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "element_id"))).filter(F.col("rank") > offset)
+    out = scores.withColumn("rank", F.row_number().over(Window.orderBy(*by_score()))).filter(F.col("rank") > offset)
     return out.select("element_id", "site_id", "score", "rank").orderBy("rank")
 
 

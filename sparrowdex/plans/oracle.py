@@ -65,9 +65,9 @@ CONFIDENCE = (
 
 
 def similar() -> str:
-    """CTEs from asked(site_id, token): similar(site_id, token, term, doc_freq, similarity) and fuzzy with confidence and place."""
+    """CTEs from asked(site_id, token): near_terms(site_id, token, term, doc_freq, similarity) and fuzzy with confidence and place."""
     return f"""asked_grams AS (SELECT site_id, token, {grams('token')} AS asked, {threshold('length(token)')} AS least FROM asked),
-similar AS (
+near_terms AS (
   SELECT site_id, token, term, doc_freq, similarity FROM (
     SELECT a.site_id, token, term, doc_freq, least, len(list_intersect(asked, grams))::DOUBLE / (len(asked) + len(grams) - len(list_intersect(asked, grams))) AS similarity
     FROM asked_grams a JOIN dict_grams d ON a.site_id = d.site_id AND len(grams) >= floor(len(asked) * least) AND len(grams) * least <= len(asked) + 1e-9
@@ -75,7 +75,7 @@ similar AS (
 ),
 fuzzy AS (
   SELECT *, {CONFIDENCE} AS confidence FROM (
-    SELECT *, row_number() OVER (PARTITION BY site_id, token ORDER BY similarity DESC, term) AS place FROM similar WHERE {CLOSE}
+    SELECT *, row_number() OVER (PARTITION BY site_id, token ORDER BY similarity DESC, term) AS place FROM near_terms WHERE {CLOSE}
   ) WHERE place <= {S.max_candidates}
 )"""
 
@@ -105,7 +105,7 @@ scored AS (
   FROM hits h JOIN doc_stats s ON s.site_id = h.site_id AND s.element_id = h.element_id CROSS JOIN totals WHERE n = 1 GROUP BY ALL
 ),
 boosted AS (SELECT query_id, site_id, element_id, score * CASE WHEN n_tokens > 1 AND exact = n_tokens THEN {S.exact_boost}::DOUBLE ELSE 1.0::DOUBLE END AS score FROM scored WHERE matched = n_tokens),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, site_id ORDER BY score DESC, element_id) AS rank FROM boosted)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, site_id ORDER BY round(score, 9) DESC, element_id) AS rank FROM boosted)"""
 
 
 def search(text: str, site_id: int, kind: str = "document", allowed: str | None = None, limit: int | None = None, offset: int = 0) -> str:

@@ -152,17 +152,17 @@ def _asked(spark: SparkSession) -> DataFrame:
 _SIMILAR = f"{oracle.dict_grams()}, {_ASKED}, {oracle.similar()}"
 
 
-@query(_with_index("SELECT site_id, token, term, round(similarity, 6) AS similarity FROM similar", more=_SIMILAR))
+@query(_with_index("SELECT site_id, token, term, round(similarity, 6) AS similarity FROM near_terms", more=_SIMILAR))
 def jaccard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(s.similar_terms(corpus.index_of(spark, sf_dir), _asked(spark), True).select("site_id", "token", "term", "similarity"), "similarity")
 
 
-@query(_with_index("SELECT site_id, token, term, round(similarity, 6) AS similarity FROM similar", more=_SIMILAR))
+@query(_with_index("SELECT site_id, token, term, round(similarity, 6) AS similarity FROM near_terms", more=_SIMILAR))
 def jaccard_candidates_by_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(s.similar_terms(corpus.index_of(spark, sf_dir), _asked(spark), False).select("site_id", "token", "term", "similarity"), "similarity")
 
 
-@query(_with_index(f"SELECT site_id, token, term, levenshtein(token, term) AS distance FROM similar WHERE {oracle.CLOSE}", more=_SIMILAR))
+@query(_with_index(f"SELECT site_id, token, term, levenshtein(token, term) AS distance FROM near_terms WHERE {oracle.CLOSE}", more=_SIMILAR))
 def edit_distance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.similar_terms(corpus.index_of(spark, sf_dir), _asked(spark), True)
     t, c = F.col("token"), F.col("term")
@@ -200,8 +200,8 @@ _search("search_other_site", "oument", DE)
 _search("search_no_result", "zzzzzzzzzzzz", EN)
 _search("search_empty_query", " .,! ", EN)
 _search("search_paginated", "attion", EN, limit=10, offset=20)
-_search("search_parts", "almond antiqe", 1, "part")
-_search("search_parts_prefix", "lave", 1, "part", limit=50)
+_search("search_parts", "smal widgt", 1, "part")
+_search("search_parts_prefix", "widg", 1, "part", limit=50)
 _search("search_pages_title", "thanedble", 1, "page")
 
 
@@ -216,15 +216,14 @@ def search_result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.count_results(corpus.index_of(spark, sf_dir), "thandble attion", EN)
 
 
-_BATCH = "SELECT item_id::INTEGER AS query_id, 2 AS site_id, array_to_string(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ')[1:3], ' ') AS text FROM benchmark"
+_BATCH = "SELECT p_partkey::INTEGER AS query_id, 1 AS site_id, p_name AS text FROM part"
 
 
-@query(f"{oracle.ranked(_BATCH)}\nSELECT query_id, site_id, element_id, round(score, 6) AS score, rank FROM ranked")
+@query(f"{oracle.ranked(_BATCH, 'part')}\nSELECT query_id, site_id, element_id, round(score, 6) AS score, rank FROM ranked")
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's first words as a query: more tokens than a dictionary scan is used for."""
-    first = F.array_join(F.slice(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), 1, 3), " ")
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.lit(EN).alias("site_id"), first.alias("text"))
-    return _rounded(s.search_batch(corpus.index_of(spark, sf_dir), asked), "score").withColumn("rank", F.col("rank").cast("long"))
+    """Every part's name as a query: more tokens than a dictionary scan is used for."""
+    asked = corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("query_id"), F.lit(1).alias("site_id"), F.col("p_name").alias("text"))
+    return _rounded(s.search_batch(corpus.index_of(spark, sf_dir, "part"), asked), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 # Elements
@@ -292,6 +291,8 @@ def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Maintenance
 
+GONE = "error"  # an event of this type takes its element out of the index
+
 
 @query(_with_index("SELECT site_id, element_id FROM doc_stats WHERE site_id = 2 AND element_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"))
 def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,11 +326,11 @@ def delete_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = corpus.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select("user_id", "e.*")
     name = F.concat(F.lit("changed by "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
-    return el.elements(events, "part", F.col("user_id"), 1, name, enabled=F.col("user_id") % 7 != 0)
+    return el.elements(events, "part", F.col("user_id"), 1, name, enabled=F.col("event_type") != GONE)
 
 
 _CHANGED = r"""last AS (SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1),
-new AS (SELECT DISTINCT 1 AS site_id, user_id AS element_id, unnest({}) AS term FROM last WHERE user_id % 7 <> 0),
+new AS (SELECT DISTINCT 1 AS site_id, user_id AS element_id, unnest({}) AS term FROM last WHERE event_type <> 'error'),
 after AS (SELECT site_id, element_id, term, freq, in_title FROM postings WHERE element_id NOT IN (SELECT user_id FROM last) UNION ALL SELECT site_id, element_id, term, 1, true FROM new)""".format(oracle.tokens("'changed by ' || event_type || ' ' || event_id"))
 
 
@@ -343,7 +344,7 @@ def rolling_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds and publishes a version over a live one, then reads what readers see."""
     folder = f"{_folder(spark)}/rebuild"
     store = ParquetStore(spark, folder)
-    maintain.rebuild(corpus.part_elements(spark, sf_dir).filter("element_id % 2 = 0"), store)
+    maintain.rebuild(corpus.page_elements(spark, sf_dir), store)
     return maintain.rebuild(corpus.part_elements(spark, sf_dir), store).doc_stats.select("site_id", "element_id", "doc_len")
 
 
@@ -355,7 +356,7 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = corpus.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("seq", F.struct("ts", "event_id"))
     name = F.concat(F.lit("changed by "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
-    changes = el.elements(events, "part", F.col("user_id"), 1, name, enabled=F.col("user_id") % 7 != 0, keep=["seq"])
+    changes = el.elements(events, "part", F.col("user_id"), 1, name, enabled=F.col("event_type") != GONE, keep=["seq"])
     index_stream(changes, store, f"{_folder(spark)}/checkpoint").awaitTermination()
     return store.read().postings
 
