@@ -47,7 +47,7 @@ class Workspace:
         schema = df.schema
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        out = self.spark.read.parquet(path) if partition_by else self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)  # an empty table has no file to infer it from
         out._sparrowdex_path = path
         return out
 

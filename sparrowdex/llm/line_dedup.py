@@ -132,27 +132,36 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone, work
 
 
+def _rebuilt(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """`docs` with columns c0, c1, ... (so that no name can clash), the text without repeats, n_lines and n_dropped."""
+    gone, _ = repeated_lines(docs, id_col, text_col, **options)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    docs, own_id, own_text = docs.toDF(*names), names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    text = F.col(own_text).cast("string")
+    out = docs.join(gone.toDF("gone_id", "gone_row", "gone"), F.col(own_id).cast("long").eqNullSafe(F.col("gone_id")) & (text_key(text) == F.col("gone_row")), "left")
+    every = F.split(text, "\n", -1)
+    left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    filled = F.size(F.filter(every, lambda x: F.regexp_replace(x, LINE, "") != ""))
+    return out.select(
+        *[F.when(F.col("gone").isNull(), text).otherwise(left).alias(n) if n == own_text else n for n in names],
+        F.when(text.isNull(), 0).otherwise(filled).alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
+    )
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT, counts: bool = False) -> DataFrame:
     """`docs`, all rows and columns, with repeated lines taken out of the text.
 
     With `counts`, the columns __n_lines (non-blank lines before) and __n_dropped are added."""
-    gone, _ = repeated_lines(docs, id_col, text_col, batches, fanout)
-    gone = gone.toDF("__gone_id", "__gone_row", "__gone")
-    text = F.col(text_col).cast("string")
-    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone_id"]) & (text_key(docs[text_col].cast("string")) == gone["__gone_row"]), "left").drop("__gone_id", "__gone_row")
-    every = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    if counts:
-        filled = F.size(F.filter(every, lambda x: F.regexp_replace(x, LINE, "") != ""))
-        out = out.withColumns({COUNTS[0]: F.when(text.isNull(), 0).otherwise(filled), COUNTS[1]: F.coalesce(F.size("__gone"), F.lit(0))})
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(left)).drop("__gone")
+    out = _rebuilt(docs, id_col, text_col, batches=batches, fanout=fanout)
+    return out.toDF(*docs.columns, *COUNTS) if counts else out.drop("n_lines", "n_dropped").toDF(*docs.columns)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`dedup_lines` without the documents of which no non-blank line is left
     because all were repeats. Documents that had none before stay."""
-    out = dedup_lines(docs, id_col, text_col, counts=True, **options)
-    return out.filter(f"{COUNTS[0]} = 0 or {COUNTS[1]} < {COUNTS[0]}").select(*docs.columns)
+    out = _rebuilt(docs, id_col, text_col, **options).filter("n_lines = 0 or n_dropped < n_lines")
+    return out.drop("n_lines", "n_dropped").toDF(*docs.columns)
 
 
 SQL = r"""
