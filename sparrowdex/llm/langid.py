@@ -147,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary").collect()
     found.sort(key=lambda r: (r["id"], r["lang"], r["x"]))
     found = found[: 2 * max_train]
-    x = np.array([np.frombuffer(bytes(r["x"]), "<f2") for r in found], np.float32).reshape(len(found), -1)
+    x = np.array([np.frombuffer(bytes(r["x"]), "<f2") for r in found], np.float32).reshape(len(found), DIM)
     return LanguageModel(x, np.array([r["lang"] for r in found], dtype=object), families)
 
 
