@@ -10,7 +10,8 @@ joins and compactions read runs without moving them.
 
 A line is what `\\n` separates, compared without white space at its ends. Blank
 lines are neither counted nor dropped. Of equal lines, the first in the order of
-(doc_id, position) stays, over the whole table however it is batched.
+(doc_id, position) stays, over the whole table however it is batched. Rows equal in
+id, text and position are the same line and share its fate.
 
 Defined results: a null text is kept as null and holds no lines. Null ids come
 first in the order, and documents that share an id are ordered by a hash of
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._work import Workspace, remove, text_key
@@ -115,14 +116,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = Runs(spark, work.path, buckets, fanout)
     gone = None
     for k in range(len(cuts) + 1):
-        mine = lines.filter(F.col("batch") == k).drop("batch").repartition(buckets, "h1", "h2")
-        order = [F.col("id").asc_nulls_first(), "row", "pos"]
-        # equal rows (same id, text and position) rank alike and share the verdict
-        ranked = mine.withColumn("first", F.rank().over(Window.partitionBy("h1", "h2").orderBy(*order)) == 1)
-        heads = ranked.filter("first").select("h1", "h2").distinct()
+        mine = lines.filter(F.col("batch") == k).drop("batch")
+        # an aggregate, combined before its shuffle: a line that very many documents share is one row per task
+        heads = mine.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "pos")).alias("first"))
         new = work.save(runs.unseen(heads), f"new{k}")
-        kept = new.withColumn("new", F.lit(True))
-        dropped = ranked.join(kept, ["h1", "h2"], "left").filter("not (first and coalesce(new, false))").select("id", "row", "pos")
+        kept = new.select(*[F.col(c).alias(f"kept_{c}") for c in ("h1", "h2")], *[F.col(f"first.{c}").alias(f"kept_{c}") for c in ("id", "row", "pos")])
+        # the position is part of the key, so that shared lines don't meet in one partition
+        same = F.col("id").eqNullSafe(F.col("kept_id"))
+        for c in ("h1", "h2", "row", "pos"):
+            same = same & (F.col(c) == F.col(f"kept_{c}"))
+        dropped = mine.join(kept, same, "left_anti")
         part = work.save(dropped.groupBy("id", "row").agg(F.collect_set("pos").alias("gone")), f"gone{k}")
         gone = part if gone is None else gone.union(part)
         runs.add(new)
