@@ -17,11 +17,10 @@ share among toxic ones most exceeds that among clean ones, by signed root of the
 (toxic seeds, at least `seed_z`), and the most used terms with no such excess (clean
 seeds). At most `max_labelled` labelled ids are used, chosen by a hash of the id.
 
-Frequent words are found without shuffling the vocabulary: a word that `min_share`
-of a language's documents use is used by that share in some chunk of some task, so
-one pass collects such candidates and the next counts them exactly. Co-occurrence
-counts are dense blocks over the frequent words, compressed, summed in two steps by
-block; with more than `max_cells` cells they take several passes over the texts.
+Frequent words are found without shuffling the vocabulary: one pass keeps a summary of
+bounded size that loses no word of that share (`_heavy`), the next counts its words
+exactly. Co-occurrence counts are dense blocks over the frequent words, compressed and
+summed level by level; with more than `max_cells` cells they take several passes over the texts.
 All that reaches the driver depends on `min_share` and the number of languages.
 
 Defined results: null or tokenless texts score 0 and aren't toxic. A null language
@@ -31,18 +30,22 @@ scored by its own text and language."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._heavy import Heavy, merged, partitions
 from ._tokens import Tokens, chunks, hash_words
-from .quality_rules import _Langs, _word
+from .quality_rules import _Langs, _word, frequent
 
 MIN_SHARE, WINDOW, MAX_CELLS, MAX_LABELLED = 0.012, 10, 24_000_000, 10_000
 SEEDS, SEED_Z, RESTART, STEPS, DOUBT, PRIOR = 12, 4.5, 0.15, 60, 0.5, 2.0
 CUT, EVIDENCE, LIMIT = 0.2, 0.5, 0.03
+COUNTERS = 1 << 15  # in the summary of a language's words
 ROWS = 256  # words in a block of the co-occurrence counts
 
 
@@ -51,7 +54,9 @@ def _key(lang: np.ndarray, h: np.ndarray) -> np.ndarray:
     return h ^ ((lang.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _frequent(min_share: float):
+def _frequent(size: int):
+    """Per task and language: number of documents, and a summary of the documents each word is in."""
+
     def run(batches):
         langs, docs, words = _Langs(), {}, {}
         for batch in batches:
@@ -64,20 +69,34 @@ def _frequent(min_share: float):
                 d, h, order = d[new], h[new], order[new]
                 for k, n in zip(*np.unique(own, return_counts=True)):
                     docs[int(k)] = docs.get(int(k), 0) + int(n)
-                    at = own[d] == k
+                    at = np.flatnonzero(own[d] == k)
                     x, first, m = np.unique(h[at], return_index=True, return_counts=True)
-                    for y, f in zip(*(v[m >= min_share * n].tolist() for v in (x, first))):
-                        if (int(k), y) not in words:
-                            words[int(k), y] = _word(data, t, order[at][f])
-        rows = [(name, None, docs[k]) for name, k in langs.names.items() if k in docs]
-        names = list(langs.names)
-        rows += [(names[k], w.decode("utf-8", "replace"), 0) for (k, _), w in words.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+                    words.setdefault(int(k), Heavy(size)).add(x, m, lambda new: [_word(data, t, order[at[f]]).decode("utf-8", "replace") for f in first[new]])
+        if docs:
+            rows = [(name, words[k].total, [docs[k]], words[k].item.tobytes(), words[k].count.tobytes(), words[k].word.tolist()) for name, k in langs.names.items() if k in docs]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "n", "chars", "items", "counts", "words"])
 
     return run
 
 
+def candidates(rows: DataFrame, min_share: float, counters: int = COUNTERS) -> tuple[dict[str, int], dict[str, list[str]]]:
+    """(documents, words) by language; no word that `min_share` of the documents use is missing.
+
+    A summary's counters are too low by at most what they lost in all / (counters + 1).
+    Should that reach the share asked for (documents of very many different words), the
+    pass is repeated with as many counters as it takes."""
+    while True:
+        first = frequent(rows, _frequent(counters), counters)
+        docs = {r["lang"]: r["chars"][0] for r in first}
+        count = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in first}
+        slack = {r["lang"]: (r["n"] - int(count[r["lang"]].sum())) / (counters + 1) for r in first}
+        if all(slack[x] < min_share * docs[x] for x in docs):
+            break
+        counters = max(int(r["n"] / (min_share * docs[r["lang"]])) + 1 for r in first)
+    return docs, {r["lang"]: [w for w, c in zip(r["words"], count[r["lang"]]) if c + slack[r["lang"]] >= min_share * docs[r["lang"]]] for r in first}
+
+
 class Vocabulary:
     """Words by language, numbered in one range: those of language k are [start[k], start[k + 1])."""
 
@@ -125,13 +144,17 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[:1], "size": [size], "sums": [pa.compress(total.tobytes(), "zstd", asbytes=True)]})
 
 
-def cooccurrence(rows: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, max_cells: int = MAX_CELLS) -> list[np.ndarray]:
-    """Symmetric count matrices, one for each language, over all texts."""
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]  # word, other word (not before it), value; each pair once
+
+
+def cooccurrence(rows: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, max_cells: int = MAX_CELLS) -> Iterator[Edges]:
+    """Counts of the pairs that occur over all texts, one language after the other.
+    The driver holds eight bytes for each pair, and one language at a time in full."""
     sizes = np.diff(vocabulary.start)
     width = sizes[vocabulary.lang]  # columns of a word's row
     first = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)  # a row's first cell
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    out = [np.zeros((n, n), np.int64) for n in sizes]
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in sizes]  # place in the language's matrix, count
     schema = "block long, size long, sums binary"
     a = 0
     while a < len(width):
@@ -155,52 +178,69 @@ def cooccurrence(rows: DataFrame, vocabulary: Vocabulary, window: int = WINDOW,
                     packed = pa.compress(part.astype("<i8").tobytes(), "zstd", asbytes=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([len(part)]), pa.array([packed], pa.binary())], names=["block", "size", "sums"])
 
-        parts = rows.mapInArrow(run, schema).withColumn("salt", F.spark_partition_id() % 32).groupBy("block", "salt").applyInPandas(_sum, schema)
-        for r in parts.groupBy("block").applyInPandas(_sum, schema).toLocalIterator():
+        for r in merged(rows.mapInArrow(run, schema), "block", schema, _sum, partitions(rows)).toLocalIterator():
             cells = np.frombuffer(pa.decompress(bytes(r["sums"]), r["size"] * 8, "zstd", asbytes=True), "<i8")
-            at = 0
-            for x in range(r["block"], min(r["block"] + ROWS, b)):
-                k = vocabulary.lang[x]
-                out[k][x - vocabulary.start[k]] += cells[at : at + width[x]]
-                at += width[x]
+            at = np.flatnonzero(cells)
+            row = np.searchsorted(first, first[r["block"]] + at, side="right") - 1
+            column, lang = first[r["block"]] + at - first[row], vocabulary.lang[row]
+            for k in np.unique(lang).tolist():
+                own = lang == k
+                place, n = (row[own] - vocabulary.start[k]) * sizes[k] + column[own], cells[at[own]]
+                found[k].append(tuple(v.astype(np.int32 if v.max() < 1 << 31 else np.int64) for v in (place, n)))
         a = b
-    for m in out:
-        m += np.triu(m, 1).T  # pairs came with the smaller number first
-    return out
+    for k, parts in enumerate(found):
+        place, n = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        found[k] = parts = []
+        yield place // max(1, sizes[k]), place % max(1, sizes[k]), n
 
 
-def ppmi(counts: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
+def ppmi(edges: Edges, n_words: int, doubt: float = DOUBT) -> Edges:
     """Positive pointwise mutual information in bits, from the lower end of each
     count's range (the count less `doubt` standard deviations), so that words met
     together once or twice by chance have no edge."""
-    total = counts.sum()
+    x, y, n = edges
+    other = x != y
+    both = np.bincount(x, weights=n, minlength=n_words) + np.bincount(y[other], weights=n[other], minlength=n_words)
+    total = both.sum()
     if not total:
-        return np.zeros(counts.shape)
-    margin = counts.sum(axis=1) / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = np.log2(np.maximum(counts - doubt * np.sqrt(counts), 0) / total / np.outer(margin, margin))
-    out = np.maximum(np.nan_to_num(x, nan=0, neginf=0, posinf=0), 0)
-    np.fill_diagonal(out, 0)
-    return out
-
-
-def walk(weights: np.ndarray, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
+        return x[:0], y[:0], np.zeros(0)
+    margin = both / total
+    w = np.sqrt(n)
+    w *= -doubt
+    w += n
+    np.maximum(w, 0, out=w)
+    w /= total
+    w /= margin[x]
+    w /= margin[y]
+    with np.errstate(divide="ignore"):
+        np.log2(w, out=w)
+    keep = (w > 0) & other
+    return x[keep], y[keep], w[keep]
+
+
+def _degrees(weights: Edges, n_words: int) -> np.ndarray:
+    x, y, w = weights
+    return np.bincount(x, weights=w, minlength=n_words) + np.bincount(y, weights=w, minlength=n_words)
+
+
+def walk(weights: Edges, n_words: int, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
     """Visiting probabilities of a random walk that restarts at the seeds; a word without edges restarts."""
-    s = np.zeros(len(weights))
+    x, y, w = weights
+    s = np.zeros(n_words)
     s[seeds] = 1 / len(seeds)
-    degree = weights.sum(axis=1)
+    degree = _degrees(weights, n_words)
     p = s.copy()
     for _ in range(steps):
         share = np.divide(p, degree, out=np.zeros_like(p), where=degree > 0)
-        p = (1 - restart) * (share @ weights + p[degree == 0].sum() * s) + restart * s
+        p = (1 - restart) * (np.bincount(y, weights=share[x] * w, minlength=n_words) + np.bincount(x, weights=share[y] * w, minlength=n_words) + p[degree == 0].sum() * s) + restart * s
     return p
 
 
-def polarity(weights: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+def polarity(weights: Edges, n_words: int, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """-1 to 1 per word; 0 where neither walk gets."""
     if not len(toxic) or not len(clean):
-        return np.zeros(len(weights))
-    t, c, degree = walk(weights, toxic), walk(weights, clean), weights.sum(axis=1)
+        return np.zeros(n_words)
+    t, c, degree = walk(weights, n_words, toxic), walk(weights, n_words, clean), _degrees(weights, n_words)
     total = t + c + PRIOR * degree / max(degree.sum(), 1e-12)
     return np.divide(t - c, total, out=np.zeros_like(t), where=total > 0)
 
@@ -250,9 +290,8 @@ def induce(docs: DataFrame, labels: DataFrame | None = None, seeds: dict[str, tu
     """The induced lexicon. `seeds` maps a language to its (toxic, clean) terms; without it they come from the labels."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(id_col).cast("long").alias("id"))
     spark = docs.sparkSession
-    first = rows.select("text", "lang").mapInArrow(_frequent(min_share), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    n_docs = {r["lang"]: r["n"] for r in first if r["word"] is None}
-    found = {x: sorted({r["word"] for r in first if r["lang"] == x and r["word"] is not None} | {w.lower() for own in (seeds or {}).get(x, ()) for w in own}) for x in n_docs}
+    n_docs, words_of = candidates(rows.select("text", "lang"), min_share)
+    found = {x: sorted(set(words_of[x]) | {w.lower() for own in (seeds or {}).get(x, ()) for w in own}) for x in n_docs}
     start = Vocabulary(found)
     label = _labels(labels, max_labelled) if labels is not None and seeds is None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     shared = spark.sparkContext.broadcast((start, label))
@@ -301,7 +340,7 @@ def induce(docs: DataFrame, labels: DataFrame | None = None, seeds: dict[str, tu
     vocabulary = Vocabulary(words)
     entries = {}
     for (x, k), m in zip(vocabulary.langs.items(), cooccurrence(rows.select("text", "lang"), vocabulary, window, max_cells)):
-        weight = polarity(ppmi(m), *chosen[x])
+        weight = polarity(ppmi(m, len(words[x])), len(words[x]), *chosen[x])
         entries[x] = {w: float(p) for w, p in zip(words[x], weight) if p > cut}
     return Lexicon(entries)
 
