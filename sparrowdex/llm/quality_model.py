@@ -11,7 +11,7 @@ vectors. The network (numpy, one hidden layer) is fitted on at most `max_labelle
 labelled documents, chosen by a hash of the id; a fifth of them is held out to set
 the temperature that makes its probabilities honest.
 
-Passes: one for the table (each task emits one table, summed by row block), one over
+Passes: one for the table (each task emits one table, summed by row block, level by level), one over
 the labelled documents, one for the scores. Only the table (`buckets` x `dim` small
 integers) and the network are broadcast; neither grows with the data.
 
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._heavy import merged, partitions
 from ._tokens import CASED, RUNS, U, Tokens, chunks, mix
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 13, 32, 2, 2
@@ -79,10 +80,10 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 def word_table(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO, window: int = WINDOW) -> np.ndarray:
     """(buckets, 2 dim) rows: the normalised context sum, then the index vector."""
     schema = "block long, sums binary"
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_tables(buckets, dim, nonzero, window), schema)
-    salted = parts.withColumn("salt", F.spark_partition_id() % 32).groupBy("block", "salt").applyInPandas(_sum, schema)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    parts = merged(texts.mapInArrow(_tables(buckets, dim, nonzero, window), schema), "block", schema, _sum, partitions(texts))
     acc = np.zeros((BLOCKS, buckets * dim // BLOCKS))
-    for r in salted.groupBy("block").applyInPandas(_sum, schema).collect():
+    for r in parts.collect():
         acc[r["block"]] = np.frombuffer(r["sums"], "<i8")
     acc = acc.reshape(buckets, dim)
     acc /= np.maximum(np.linalg.norm(acc, axis=1, keepdims=True), 1e-9)
