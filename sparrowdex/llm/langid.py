@@ -133,7 +133,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     families = FAMILIES if families is None else families
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isin(*families) & F.col("id").isNotNull())
     order = F.xxhash64(F.lit("lang"), "id")
-    ids = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))).filter(F.col("n") <= max_train)
+    # by its count, a language is thinned to little more than max_train before the exact choice, so that no task gets all of it
+    want = max_train + 8 * max_train**0.5 + 8
+    share = F.lit(0.0)
+    for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect():
+        share = F.when(F.col("lang") == r["lang"], want / r["n"]).otherwise(share)
+    thin = known.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))
+    by_hash = [F.pmod(order, F.lit(1 << 30)), order, F.col("id")]
+    ids = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))).filter(F.col("n") <= max_train)
     chosen = ids.orderBy("n", order, "id", "lang").limit(max_train).select("id", "lang")  # bounded: may be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
