@@ -1,7 +1,10 @@
 """Toxicity by lexicon induction: random walks over a word graph.
 
 For each language a graph joins the words that at least `min_share` of its documents
-use; an edge's weight is the positive pointwise mutual information of its two words
+use (the background of ordinary words) and, however few documents use them, the words
+in toxic company: those that labelled toxic documents, or places within `window` tokens
+of a toxic seed, hold more often than chance explains, by signed root of the likelihood
+ratio (at least `seed_z`, as for seeds). An edge's weight is the positive pointwise mutual information of its two words
 within `window` tokens of each other, counted over all documents. Walks that restart
 at labelled seed terms, toxic ones in one run and clean ones in another, settle on
 two distributions t and c over the words; a word's polarity is how much more the
@@ -15,13 +18,19 @@ to at least `evidence`.
 Seed terms are given by language, or come from labelled documents: the terms whose
 share among toxic ones most exceeds that among clean ones, by signed root of the likelihood ratio
 (toxic seeds, at least `seed_z`), and the most used terms with no such excess (clean
-seeds). At most `max_labelled` labelled ids are used, chosen by a hash of the id.
+seeds). Every term of the labelled toxic documents is tried as a toxic seed. At most
+`max_labelled` labelled ids are used, chosen by a hash of the id.
 
 Frequent words are found without shuffling the vocabulary: one pass keeps a summary of
 bounded size that loses no word of that share (`_heavy`), the next counts its words
-exactly. Co-occurrence counts are dense blocks over the frequent words, compressed and
+exactly. Their co-occurrence counts are dense blocks, compressed and
 summed level by level; with more than `max_cells` cells they take several passes over the texts.
-All that reaches the driver depends on `min_share` and the number of languages.
+The words in toxic company come from exact counts of all words, summed by a shuffle; their
+co-occurrence counts are sparse and summed by another. What reaches the driver depends on
+`min_share`, the number of languages, and the words in toxic company with their pairs.
+A word that only goes with words in toxic company, never with a seed or in a labelled toxic
+document, joins the graph only if it is frequent; one that two or three documents use can't
+reach `seed_z` unless toxic company is very rare.
 
 Defined results: null or tokenless texts score 0 and aren't toxic. A null language
 is a language of its own. Without seeds of either kind, a language's lexicon is
@@ -40,6 +49,7 @@ from pyspark.sql import functions as F
 
 from ._heavy import Heavy, merged, partitions
 from ._tokens import Tokens, chunks, hash_words
+from ._work import Workspace
 from .quality_rules import _Langs, _word, frequent
 
 MIN_SHARE, WINDOW, MAX_CELLS, MAX_LABELLED = 0.012, 10, 24_000_000, 10_000
@@ -47,6 +57,8 @@ SEEDS, SEED_Z, RESTART, STEPS, DOUBT, PRIOR = 12, 4.5, 0.15, 60, 0.5, 2.0
 CUT, EVIDENCE, LIMIT = 0.2, 0.5, 0.03
 COUNTERS = 1 << 15  # in the summary of a language's words
 ROWS = 256  # words in a block of the co-occurrence counts
+RARE_DOUBT = 1.5  # DOUBT for pairs with a rare word: one or two meetings are chance there too
+HELD = 1 << 20  # words or pairs that a task sums before it hands them on
 
 
 def _key(lang: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -191,12 +203,71 @@ def cooccurrence(rows: DataFrame, vocabulary: Vocabulary, window: int = WINDOW,
     for k, parts in enumerate(found):
         place, n = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
         found[k] = parts = []
-        yield place // max(1, sizes[k]), place % max(1, sizes[k]), n
+        size = max(1, int(sizes[k]))  # a plain int: the places keep their type
+        x, y = place // size, place % size
+        del place
+        yield x, y, n
+        del x, y, n
 
 
-def ppmi(edges: Edges, n_words: int, doubt: float = DOUBT) -> Edges:
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their rows of values."""
+    order = np.argsort(key, kind="stable")
+    key, values = key[order], values[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(values, first) if len(first) else values
+
+
+def rare_edges(rows: DataFrame, vocabulary: Vocabulary, rare: np.ndarray, window: int = WINDOW) -> list[Edges]:
+    """Counts of the pairs with a rare word (a mask over the vocabulary), by language, sparse and without a limit on the texts."""
+    size = len(vocabulary.words)
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, rare))
+
+    def run(batches):
+        v, rare = shared.value
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            lang = _codes(v, batch.column(1))
+            for lo, hi, data, offs in chunks(batch.column(0)):
+                t = Tokens(data, offs)
+                number = v.numbers(t, lang[lo:hi])
+                has = np.zeros(hi - lo, bool)
+                has[t.doc[(number >= 0) & rare[number]]] = True
+                number = np.where(has[t.doc], number, -1) if len(number) else number
+                for x, y in _pairs(t.doc, number, window):
+                    ok = rare[x] | rare[y]
+                    key, n = np.concatenate([key, x[ok] * size + y[ok]]), np.concatenate([n, np.ones(int(ok.sum()), np.int64)])
+                    if len(key) > 2 * HELD:
+                        key, n = _summed(key, n)
+                        if len(key) > HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+                            key, n = key[:0], n[:0]
+        key, n = _summed(key, n)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+
+    def pack(batches):
+        for batch in batches:
+            pair, n = (np.asarray(c) for c in batch.columns)
+            packed = [pa.array([pa.compress(v.astype("<i8").tobytes(), "zstd", asbytes=True)], pa.binary()) for v in (pair, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(n)]), *packed], names=["size", "pairs", "sums"])
+
+    found: list[list[Edges]] = [[] for _ in vocabulary.langs]
+    summed = rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in summed.mapInArrow(pack, "size long, pairs binary, sums binary").toLocalIterator():
+        pair, n = (np.frombuffer(pa.decompress(bytes(r[c]), r["size"] * 8, "zstd", asbytes=True), "<i8") for c in ("pairs", "sums"))
+        x, y = pair // size, pair % size
+        lang = vocabulary.lang[x]
+        for k in np.unique(lang).tolist():
+            own = lang == k
+            v = n[own]
+            found[k].append(((x[own] - vocabulary.start[k]).astype(np.int32), (y[own] - vocabulary.start[k]).astype(np.int32), v.astype(np.int32 if v.max() < 1 << 31 else np.int64)))
+    none = (np.zeros(0, np.int32),) * 3
+    return [tuple(np.concatenate(c) for c in zip(*parts)) if parts else none for parts in found]
+
+
+def ppmi(edges: Edges, n_words: int, doubt: float | np.ndarray = DOUBT) -> Edges:
     """Positive pointwise mutual information in bits, from the lower end of each
-    count's range (the count less `doubt` standard deviations), so that words met
+    count's range (the count less `doubt` standard deviations, one for all or for each pair), so that words met
     together once or twice by chance have no edge."""
     x, y, n = edges
     other = x != y
@@ -223,16 +294,24 @@ def _degrees(weights: Edges, n_words: int) -> np.ndarray:
     return np.bincount(x, weights=w, minlength=n_words) + np.bincount(y, weights=w, minlength=n_words)
 
 
+def _spread(weights: Edges, share: np.ndarray) -> np.ndarray:
+    """What each word gets over its edges, some edges at a time: no copies of them all."""
+    out = np.zeros(len(share))
+    for lo in range(0, len(weights[0]), HELD):
+        x, y, w = (v[lo : lo + HELD] for v in weights)
+        out += np.bincount(y, weights=share[x] * w, minlength=len(out)) + np.bincount(x, weights=share[y] * w, minlength=len(out))
+    return out
+
+
 def walk(weights: Edges, n_words: int, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
     """Visiting probabilities of a random walk that restarts at the seeds; a word without edges restarts."""
-    x, y, w = weights
     s = np.zeros(n_words)
     s[seeds] = 1 / len(seeds)
     degree = _degrees(weights, n_words)
     p = s.copy()
     for _ in range(steps):
         share = np.divide(p, degree, out=np.zeros_like(p), where=degree > 0)
-        p = (1 - restart) * (np.bincount(y, weights=share[x] * w, minlength=n_words) + np.bincount(x, weights=share[y] * w, minlength=n_words) + p[degree == 0].sum() * s) + restart * s
+        p = (1 - restart) * (_spread(weights, share) + p[degree == 0].sum() * s) + restart * s
     return p
 
 
@@ -245,10 +324,8 @@ def polarity(weights: Edges, n_words: int, toxic: np.ndarray, clean: np.ndarray)
     return np.divide(t - c, total, out=np.zeros_like(t), where=total > 0)
 
 
-def pick_seeds(df: np.ndarray, tox: np.ndarray, clean: np.ndarray, n_tox: int, n_clean: int, seeds: int = SEEDS, seed_z: float = SEED_Z) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of toxic and clean seed terms, from the documents of each kind that use a word."""
-    if not n_tox or not n_clean:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def excess(tox: np.ndarray, clean: np.ndarray, n_tox, n_clean) -> np.ndarray:
+    """Signed root of the likelihood ratio: how far `tox` of `n_tox` exceeds `clean` of `n_clean`."""
     share = (tox + clean) / (n_tox + n_clean)
 
     def part(seen, n):
@@ -256,12 +333,112 @@ def pick_seeds(df: np.ndarray, tox: np.ndarray, clean: np.ndarray, n_tox: int, n
             return np.where(seen > 0, seen * np.log(seen / (n * share)), 0) + np.where(seen < n, (n - seen) * np.log((n - seen) / (n * (1 - share))), 0)
 
     g = np.sqrt(2 * np.maximum(np.nan_to_num(part(tox, n_tox) + part(clean, n_clean)), 0))
-    z = np.where(tox / n_tox > clean / n_clean, g, -g)
+    return np.where(tox / n_tox > clean / n_clean, g, -g)
+
+
+def pick_seeds(df: np.ndarray, tox: np.ndarray, clean: np.ndarray, n_tox: int, n_clean: int, seeds: int = SEEDS, seed_z: float = SEED_Z) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of toxic and clean seed terms, from the documents of each kind that use a word."""
+    if not n_tox or not n_clean:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    z = excess(tox, clean, n_tox, n_clean)
     top = np.argsort(-z, kind="stable")[:seeds]
     rest = np.flatnonzero(z < 1)
     return top[z[top] >= seed_z], rest[np.argsort(-df[rest], kind="stable")[:seeds]]
 
 
+def _kinds(label: tuple[np.ndarray, np.ndarray], own) -> np.ndarray:
+    """0 for an id without a label, 1 for a clean and 2 for a toxic one."""
+    ids, toxic = label
+    if not len(ids):
+        return np.zeros(len(own), np.int64)
+    x = np.asarray(own.fill_null(-1))
+    at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+    return np.where((ids[at] == x) & np.asarray(own.is_valid()), toxic[at] + 1, 0)
+
+
+_TALLY = "lang long, key long, n long, toxic long, word string"
+
+
+def _tally(rows: DataFrame, start: Vocabulary, label: tuple[np.ndarray, np.ndarray] | None, seeds: Vocabulary | None, window: int) -> DataFrame:
+    """(lang, key, n, toxic, word) of every word: the documents that use it, and those of them
+    that are toxic by label or, with `seeds`, have it within `window` tokens of a seed. With
+    labels only the labelled documents count. Words never in toxic company have no spelling."""
+    shared = rows.sparkSession.sparkContext.broadcast((start, label, seeds))
+
+    def run(batches):
+        v, label, seeds = shared.value
+        key, values, spelled = np.zeros(0, np.uint64), np.zeros((0, 3), np.int64), {}
+
+        def batch_of(key, values):
+            columns = [pa.array(values[:, 0]), pa.array(key.view(np.int64)), pa.array(values[:, 1]), pa.array(values[:, 2]), pa.array([spelled.get(k) for k in key.tolist()], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n", "toxic", "word"])
+
+        for batch in batches:
+            if label is not None:
+                kind = _kinds(label, batch.column(2))
+                batch, kind = batch.filter(pa.array(kind > 0)), kind[kind > 0]
+            lang = _codes(v, batch.column(1))
+            for lo, hi, data, offs in chunks(batch.column(0)):
+                t = Tokens(data, offs)
+                if not len(t.doc):
+                    continue
+                if seeds is None:
+                    near = kind[lo:hi][t.doc] == 2
+                else:
+                    near, at = np.zeros(len(t.doc), bool), np.flatnonzero(seeds.numbers(t, lang[lo:hi]) >= 0)
+                    for step in range(1, window + 1):
+                        for to in (at - step, at + step):
+                            ok = (to >= 0) & (to < len(near))
+                            ok[ok] = t.doc[to[ok]] == t.doc[at[ok]]
+                            near[to[ok]] = True
+                order = np.lexsort((~near, t.hash, t.doc))  # of a document's equal words one in toxic company comes first
+                d, h = t.doc[order], t.hash[order]
+                order = order[np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))]
+                own, near = lang[lo:hi][t.doc[order]], near[order]
+                k = _key(own, t.hash[order])
+                x, first = np.unique(k[near], return_index=True)
+                at = order[near][first]
+                for i, a in zip(x.tolist(), at.tolist()):
+                    if i not in spelled:
+                        spelled[i] = _word(data, t, a).decode("utf-8", "replace")
+                x, inverse = np.unique(k, return_inverse=True)
+                new = np.zeros((len(x), 3), np.int64)
+                new[inverse, 0] = own
+                new[:, 1] = np.bincount(inverse, minlength=len(x))
+                new[:, 2] = np.bincount(inverse[near], minlength=len(x))
+                key, values = np.concatenate([key, x]), np.concatenate([values, new])
+                if len(key) > 2 * HELD:
+                    key, values = _distinct(key, values)
+                    if len(key) > HELD:
+                        yield batch_of(key, values)
+                        key, values, spelled = key[:0], values[:0], {}
+        yield batch_of(*_distinct(key, values))
+
+    return rows.mapInArrow(run, _TALLY).groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.max("word").alias("word"))
+
+
+def _distinct(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_summed, with the language (the first column, equal for equal keys) kept as it is."""
+    x, first = np.unique(key, return_index=True)
+    out = _summed(key, values)[1]
+    out[:, 0] = values[first, 0]
+    return x, out
+
+
+def _company(tally: DataFrame, n_tox: np.ndarray, n_clean: np.ndarray, seed_z: float) -> list[tuple[int, str, int, int]]:
+    """(language, word, uses in toxic company, other uses) of the words that exceed chance by `seed_z`, of totals by language."""
+
+    def run(batches):
+        for batch in batches:
+            lang, n, tox = (np.asarray(batch.column(c)) for c in (0, 1, 2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                z = excess(tox, n - tox, n_tox[lang], n_clean[lang])
+            yield batch.filter(pa.array((z >= seed_z) & (n_tox[lang] > 0) & (n_clean[lang] > 0)))
+
+    found = tally.filter("toxic > 0").select("lang", "n", "toxic", "word").mapInArrow(run, "lang long, n long, toxic long, word string")
+    return sorted((r["lang"], r["word"], r["toxic"], r["n"] - r["toxic"]) for r in found.collect())
+
+
 class Lexicon:
     """Words with polarity above the cut, by language."""
 
@@ -297,15 +474,10 @@ def induce(docs: DataFrame, labels: DataFrame | None = None, seeds: dict[str, tu
     shared = spark.sparkContext.broadcast((start, label))
 
     def count(batches):
-        v, (ids, toxic) = shared.value
+        v, label = shared.value
         acc, n = np.zeros((len(v.words), 3), np.int64), np.zeros((len(v.langs), 2), np.int64)
         for batch in batches:
-            lang, own = _codes(v, batch.column(1)), batch.column(2)
-            kind = np.zeros(len(own), np.int64)
-            if len(ids):
-                x = np.asarray(own.fill_null(-1))
-                at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-                kind = np.where((ids[at] == x) & np.asarray(own.is_valid()), toxic[at] + 1, 0)
+            lang, kind = _codes(v, batch.column(1)), _kinds(label, batch.column(2))
             np.add.at(n, (lang[kind > 0], kind[kind > 0] - 1), 1)
             for lo, hi, data, offs in chunks(batch.column(0)):
                 t = Tokens(data, offs)
@@ -328,19 +500,53 @@ def induce(docs: DataFrame, labels: DataFrame | None = None, seeds: dict[str, tu
             n[-1 - r[0]] = r[2:]
     words: dict[str, list[str]] = {}
     chosen = {}
+    names = list(start.langs)
+    labelled: dict[str, list[tuple[str, int, int]]] = {x: [] for x in names}
+    if n.all(axis=1).any():
+        for k, w, tox, clean in _company(_tally(rows, start, label, None, window), n[:, 1], n[:, 0], SEED_Z):
+            labelled[names[k]].append((w, tox, clean))
+    common = {}
     for x, k in start.langs.items():
         at = np.arange(start.start[k], start.start[k + 1])
         given = [{w.lower() for w in own} for own in (seeds or {}).get(x, ((), ()))]
         at = np.array([i for i in at if acc[i, 0] and (acc[i, 0] >= min_share * n_docs[x] or start.words[i] in given[0] | given[1])], np.int64)
         words[x] = [start.words[i] for i in at]
+        common[x] = len(at)
+        own = set(words[x])
+        more = [r for r in labelled[x] if r[0] not in own]
+        words[x] += [w for w, _, _ in more]
+        tox, clean = np.append(acc[at, 2], [t for _, t, _ in more]), np.append(acc[at, 1], [c for _, _, c in more])
         if seeds is None:
-            chosen[x] = pick_seeds(acc[at, 0], acc[at, 2], acc[at, 1], n[k, 1], n[k, 0])
+            chosen[x] = pick_seeds(np.append(acc[at, 0], np.zeros(len(more))), tox, clean, n[k, 1], n[k, 0])
         else:
             chosen[x] = tuple(np.array([i for i, w in enumerate(words[x]) if w in g], np.int64) for g in given)
+    toxic = Vocabulary({x: [words[x][i] for i in chosen[x][0]] for x in names})
+    if len(toxic.words):
+        work = Workspace(spark, "toxicity")
+        tally = work.save(_tally(rows, start, None, toxic, window), "words")
+        total = np.zeros((len(names), 2), np.int64)
+        for r in tally.groupBy("lang").agg(F.sum("toxic"), F.sum(F.col("n") - F.col("toxic"))).collect():
+            total[r[0]] = r[1:]
+        own = {x: set(words[x]) for x in names}
+        for k, w, _, _ in _company(tally, total[:, 0], total[:, 1], SEED_Z):
+            if w not in own[names[k]]:
+                words[names[k]].append(w)
+        work.close()
     vocabulary = Vocabulary(words)
+    rare = np.concatenate([np.arange(len(words[x])) >= common[x] for x in names]) if names else np.zeros(0, bool)
+    sparse = rare_edges(rows.select("text", "lang"), vocabulary, rare, window) if rare.any() else []
+    dense = cooccurrence(rows.select("text", "lang"), Vocabulary({x: words[x][: common[x]] for x in names}), window, max_cells)
     entries = {}
-    for (x, k), m in zip(vocabulary.langs.items(), cooccurrence(rows.select("text", "lang"), vocabulary, window, max_cells)):
-        weight = polarity(ppmi(m, len(words[x])), len(words[x]), *chosen[x])
+    for (x, k), m in zip(vocabulary.langs.items(), dense):
+        doubt = DOUBT
+        if sparse:
+            doubt = np.repeat(np.float32([DOUBT, RARE_DOUBT]), [len(m[0]), len(sparse[k][0])])
+            m = tuple(np.concatenate(c) for c in zip(m, sparse[k]))
+            sparse[k] = ()
+        m = ppmi(m, len(words[x]), doubt)
+        del doubt
+        weight = polarity(m, len(words[x]), *chosen[x])
+        del m
         entries[x] = {w: float(p) for w, p in zip(words[x], weight) if p > cut}
     return Lexicon(entries)
 

@@ -236,6 +236,46 @@ def test_toxic_documents_are_found(spark):
     assert set(given.entries["en"]) >= set(bad)
 
 
+def test_rare_toxic_documents_are_found(spark):
+    """One document in a hundred is toxic, and half of the toxic words are never in a labelled one."""
+    rng = random.Random(8)
+    clean = [f"word{k}" for k in range(400)]
+    bad = [f"vile{k}" for k in range(12)]
+    rows, labels = [], []
+    for k in range(6000):
+        toxic = k % 100 == 0
+        labelled = k < 2400
+        text = rng.choices(clean, k=60) + [f"name{rng.randrange(4000)}" for _ in range(5)]
+        rng.shuffle(text)
+        if toxic:
+            for _ in range(6):
+                text.insert(rng.randrange(20, 40), rng.choice(bad[:6] if labelled else bad))
+        rows.append((k, " ".join(text), "en"))
+        if labelled:
+            labels.append((k, 1, int(toxic)))
+    docs = documents(spark, rows).repartition(3)
+    lexicon = toxicity.induce(docs, spark.createDataFrame(labels, LABELS))
+    assert set(lexicon.entries["en"]) >= set(bad) and len([w for w in lexicon.entries["en"] if w not in bad]) <= 4
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, lexicon).collect()}
+    assert np.mean([got[k] for k in range(2400, 6000, 100)]) > 0.95
+    assert np.mean([got[k] for k in range(6000) if k % 100]) < 0.01
+    given = toxicity.induce(docs, seeds={"en": (bad[:3], clean[:10])})
+    assert set(given.entries["en"]) >= set(bad)
+
+
+def test_rare_edges_match_the_dense_counts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(["aa", "bb", "cc", "dd", "zz"], k=rng.randrange(30))), rng.choice(["en", "de"])) for k in range(40)] + [(99, None, "en")]
+    docs = documents(spark, rows).repartition(3).select("text", "lang")
+    vocabulary = toxicity.Vocabulary({"de": ["aa", "cc"], "en": ["aa", "bb", "dd"]})
+    rare = np.array([False, True, False, True, True])
+    want = [{(a, b): c for a, b, c in zip(*(v.tolist() for v in e)) if rare[vocabulary.start[k] + b] or rare[vocabulary.start[k] + a]} for k, e in enumerate(toxicity.cooccurrence(docs, vocabulary, 3))]
+    for held in (1, 1000):  # tasks hand on sums in many parts, or in one
+        monkeypatch.setattr(toxicity, "HELD", held)
+        got = [{(a, b): c for a, b, c in zip(*(v.tolist() for v in e))} for e in toxicity.rare_edges(docs, vocabulary, rare, 3)]
+        assert got == want
+
+
 def test_toxicity_odd_rows(spark):
     odd = documents(spark, ODD, clashing=True)
     labels = spark.createDataFrame([(5, 1, 1), (5, 1, 0), (4, None, None), (None, 1, 1)], LABELS)
