@@ -2,6 +2,7 @@ import gzip
 import random
 
 import pytest
+import regex
 from brute import documents, leaks, loaded
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,19 +83,60 @@ def test_shipped_templates(name):
         assert name not in [m[0] for m in scan(" ".join(changed))]
 
 
-def slow_scan(text, templates):
-    """Tries every place with every template."""
-    words, out = license_scan.tokens(text), []
-    for name, t in templates.items():
-        machine, i = license_scan.Automaton(t), 0
-        while i < len(words):
-            j = machine.match(words, i)
-            if j > i:
-                out.append((name, i, j - i))
-                i = j
+def as_expression(template):
+    """One regular expression over tokens, each with a space after it; (?p) takes the longest match."""
+    out, pos = "", 0
+    for mark in [*license_scan._MARK.finditer(template), None]:
+        out += "".join(regex.escape(t) + " " for t in license_scan.tokens(template[pos : mark.start() if mark else len(template)]))
+        if mark:
+            pos = mark.end()
+            if mark[1] == "var":
+                own = regex.search(r';match="([^"]*)"', mark[2])[1]
+                out += f"(?:(?:{own}) {'|' if regex.fullmatch(own, '') else ''})"
             else:
-                i += 1
-    return out
+                out += "(?:" if mark[1] == "beginOptional" else ")?"
+    return regex.compile(f"(?p)(?<![^ ]){out}", regex.S)
+
+
+def slow_scan(text, templates):
+    """Matches of the expressions, without the automata, their anchors or token offsets."""
+    words = " ".join(license_scan.tokens(text)) + " "
+    found = [(name, words[: m.start()].count(" "), m[0].count(" ")) for name, t in templates.items() for m in as_expression(t).finditer(words)]
+    return sorted(m for m in found if m[2] and not any(o[2] > m[2] and o[1] <= m[1] and m[1] + m[2] <= o[1] + o[2] for o in found))
+
+
+NOTICES = [
+    "Permission is hereby granted", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "licensed under the GNU General Public License, version 2 or any later version", "This page is licensed under a CC BY-NC-SA 4.0 International License", "released under CC0 1.0", "Licensed under the MIT License, see the LICENSE file for details", "Licensed under the Apache License, Version 2.0 (the",
+    "Distributed under the Boost Software License, Version 1.0. (See", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy",
+]
+
+
+def test_matches_are_those_of_plain_expressions():
+    rng, scanner = random.Random(6), license_scan.Scanner()
+    whole = [license_scan._MARK.sub(lambda m: (regex.search(r'original="([^"]*)"', m[2]) or [0, ""])[1], t) for t in license_scan.TEMPLATES.values()]
+    seen = set()
+    for _ in range(150):
+        parts = [rng.choice(NOTICES + whole + ["some other words", "the", "this work is"]) for _ in range(4)]
+        words = " ".join(parts).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choices(["the", "license", "extra", "3"], k=rng.randrange(2))
+        text = " ".join(words)
+        got = sorted(scanner.scan(text))
+        assert got == slow_scan(text, license_scan.TEMPLATES), text
+        seen |= {m[0] for m in got}
+    assert seen == set(license_scan.TEMPLATES)
+
+
+def test_regions_are_bounded_by_their_expression_only():
+    mit = license_scan.TEMPLATES["MIT"]
+    full = license_scan._MARK.sub(lambda m: (regex.search(r'original="([^"]*)"', m[2]) or [0, ""])[1], mit)
+    for n, found in ((1, True), (41, True), (100, True), (130, False)):  # ".{0,500}": 500 characters
+        assert [m[0] for m in scan(full.replace("the author", " ".join(["abc"] * n)))] == (["MIT"] if found else []), n
+    t = 'start <<var;name="x";original="1";match=".*">> stop <<var;name="y";original="1";match="(?:a )*b">> end'
+    text = "start " + "w " * 30_000 + "stop " + "a " * 500 + "b end"
+    assert scan(text, t=t) == [("t", 0, 30_504)]
 
 
 def test_scan_matches_brute_force(spark):
@@ -106,9 +148,9 @@ def test_scan_matches_brute_force(spark):
 
 def test_scan_odd_rows(spark):
     notice = "Released under the MIT License"
-    rows = [(1, None), (2, ""), (3, "  ..  "), (4, notice), (4, notice), (None, notice), (5, "word " * 100_000 + notice + "."), (6, f"{notice}. {notice}")]
+    rows = [(1, None), (2, ""), (3, "  ..  "), (4, notice), (4, notice), (None, notice), (5, "word " * 100_000 + notice + "."), (6, f"{notice}. {notice}"), (None, f"another {notice}"), (6, f"again {notice}")]
     got = sorted(map(tuple, license_scan.scan_licenses(documents(spark, rows, clashing=True)).collect()), key=str)
-    assert got == sorted([(4, "MIT-notice", 0, 5), (None, "MIT-notice", 0, 5), (5, "MIT-notice", 100_000, 5), (6, "MIT-notice", 0, 5), (6, "MIT-notice", 5, 5)], key=str)
+    assert got == sorted([(4, "MIT-notice", 0, 5), (None, "MIT-notice", 0, 5), (5, "MIT-notice", 100_000, 5), (6, "MIT-notice", 0, 5), (6, "MIT-notice", 5, 5), (None, "MIT-notice", 1, 5), (6, "MIT-notice", 1, 5)], key=str)
     assert license_scan.scan_licenses(documents(spark, [])).count() == 0
     for bad in ("a <<endOptional>>", "<<beginOptional>> a", "<<beginOptional>>a<<endOptional>>"):
         with pytest.raises(ValueError):
