@@ -11,14 +11,18 @@ like any item: all of every text is packed.
 Lengths are UTF-8 bytes plus one end mark by default (the units of a byte-level
 model); `length` takes any expression, such as a token-count column.
 
-A shard is packed by one task. Shards are cut by a hash of the id into pieces of
+A shard is packed by one task. Shards are cut by a hash of the row into pieces of
 about `shard_rows` documents, so work grows in proportion with the input, memory
 stays at one shard's ids and lengths, and each shard leaves at most `open_bins`
-bins partly full.
+bins partly full. Equal rows (id, length and text) travel as one row with their
+number and are dealt out again in blocks of a sixteenth of a shard: neither rows without an
+id nor a row met a billion times fall into one shard.
 
-Defined results: null texts have length 1 (the end mark). A null id is packed
-like any other. Rows that repeat an id and a length are packed once each. A length
-that is null or not positive counts as 1. bin_id is unique over all shards."""
+Defined results: null texts have length 1 (the end mark), empty ones too; texts of any
+length are packed whole. A null id is packed like any other. Rows that repeat are
+packed once each. A length that is null or not positive counts as 1. Ties: of equally
+full bins the one opened first takes the item. bin_id is unique over all shards. An
+empty table gives no rows; extra columns are never read, whatever their names."""
 
 from __future__ import annotations
 
@@ -28,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import text_key
+
 CAPACITY, OPEN_BINS, SHARD_ROWS = 8192, 64, 50_000
 
 
@@ -80,15 +86,21 @@ def pack(lengths, capacity: int, open_bins: int) -> tuple[list[tuple[int, int, i
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_rows: int = SHARD_ROWS, length: Column | None = None) -> DataFrame:
     """(bin_id, doc_id, start, units): `units` of the document from `start` on lie in the bin."""
     units = length if length is not None else F.octet_length(F.col(text_col).cast("string")) + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(units, F.lit(1)), F.lit(1)).cast("long").alias("units"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(units, F.lit(1)), F.lit(1)).cast("long").alias("units"), text_key(F.col(text_col).cast("string")).alias("text"))
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
-    rows = rows.withColumn("order", F.xxhash64(F.lit("pack"), "doc_id")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("long"))
+    block = max(1, shard_rows // 16)
+    # equal rows are combined before the shuffle, then dealt out again in blocks
+    every = rows.groupBy("doc_id", "units", "text").agg(F.count("*").alias("n"))
+    every = every.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("block"))
+    every = every.withColumn("order", F.xxhash64(F.lit("pack"), "doc_id", "units", "text", "block")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("long"))
+    every = every.select("doc_id", "units", "order", "shard", F.least(F.lit(block), F.col("n") - F.col("block") * block).alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id", "units"], kind="stable", na_position="first")
+        pdf = pdf.loc[pdf.index.repeat(pdf["n"])]
         placed, _ = pack(pdf["units"].tolist(), capacity, open_bins)
         item, start, size, own = (np.array(x, np.int64) for x in zip(*placed))
         return pd.DataFrame({"bin_id": own * shards + int(pdf["shard"].iloc[0]), "doc_id": pdf["doc_id"].astype("Int64").array[item], "start": start, "units": size})
 
-    return rows.groupBy("shard").applyInPandas(run, "bin_id long, doc_id long, start long, units long")
+    return every.groupBy("shard").applyInPandas(run, "bin_id long, doc_id long, start long, units long")

@@ -56,6 +56,9 @@ def test_packing_odd_rows(spark):
     odd = packing.best_fit(documents(spark, rows), length=F.when(F.col("doc_id") == 3, -5).when(F.col("doc_id") == 4, F.lit(None)).otherwise(7))
     own, _ = packed(odd, packing.CAPACITY)
     assert own[3] == [(0, 1)] * 2 and own[4] == [(0, 1)] and own[1] == [(0, 7)]
+    same = documents(spark, [(7, "the same")] * 500 + [(None, f"text {k % 3}") for k in range(500)])
+    out = packing.best_fit(same, shard_rows=100)
+    assert out.count() == 1000 and out.groupBy(F.col("bin_id") % 10).count().filter("count > 300").count() == 0  # no shard gets all
     for bad in ((0, 1), (1, 0)):
         with pytest.raises(ValueError):
             packing.pack([1], *bad)
