@@ -10,11 +10,15 @@ of margins, then to the name that sorts first.
 The machines (squared hinge loss, L2 penalty) are fitted in numpy on at most
 `max_train` documents whose language is given, chosen by a hash of the id, in equal
 shares by language as far as there are any. They are the only thing broadcast; their
-size depends on the number of languages alone.
+size depends on the number of languages alone, of which the `max_languages` with the
+most ids are learned. A language that `families` doesn't name is a family of its own.
 
-Defined results: a null or wordless text has no language (nulls). Documents in
-languages outside of FAMILIES aren't trained on; if fewer than two languages can be
-trained, the one there is is returned for every text, or null."""
+Defined results: a null, empty or wordless text has no language (nulls); texts of any
+length are read whole. Documents with a null id or language aren't trained on; those
+that share an id and a language count as one (the least text). Every row, repeated
+or not, is judged by its own text. If fewer than two languages can be trained, the one
+there is is returned for every text, or null; so after an empty table. Equal hashes of
+ids are settled by the id. Extra columns are never read."""
 
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._tokens import LOWER, U, WORDS, chunks, mix
 
-DIM, MAX_TRAIN, PENALTY, ROUNDS = 2048, 4000, 1e-4, 150
+DIM, MAX_TRAIN, MAX_LANGUAGES, PENALTY, ROUNDS = 2048, 4000, 64, 1e-4, 150
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
     "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
@@ -108,7 +112,7 @@ class OneVersusOne:
 
 class LanguageModel:
     def __init__(self, x: np.ndarray, langs: np.ndarray, families: dict[str, str]):
-        own = np.array([families[v] for v in langs.tolist()], dtype=object)
+        own = np.array([families.get(v, v) for v in langs.tolist()], dtype=object)
         self.family = OneVersusOne(x, own) if len(x) else None
         self.within = [OneVersusOne(x[own == f], langs[own == f]) for f in self.family.names] if self.family else []
 
@@ -129,16 +133,17 @@ class LanguageModel:
         return family, lang, margin
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, families: dict[str, str] | None = None) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, families: dict[str, str] | None = None, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     families = FAMILIES if families is None else families
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isin(*families) & F.col("id").isNotNull())
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and id is not null")
     order = F.xxhash64(F.lit("lang"), "id")
-    # by its count, a language is thinned to little more than max_train before the exact choice, so that no task gets all of it
-    want = max_train + 8 * max_train**0.5 + 8
+    # by its number of ids (a sketch, within some 5 %), a language is thinned to little more than max_train
+    # before the exact choice, so that no task gets all of it
+    want = 1.3 * max_train + 8 * max_train**0.5 + 8
     share = F.lit(0.0)
-    for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect():
-        share = F.when(F.col("lang") == r["lang"], want / r["n"]).otherwise(share)
-    thin = known.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))
+    for r in known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect():
+        share = F.when(F.col("lang") == r["lang"], want / max(1, r["n"])).otherwise(share)
+    thin = known.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).distinct()
     by_hash = [F.pmod(order, F.lit(1 << 30)), order, F.col("id")]
     ids = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))).filter(F.col("n") <= max_train)
     chosen = ids.orderBy("n", order, "id", "lang").limit(max_train).select("id", "lang")  # bounded: may be broadcast
@@ -151,9 +156,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 ok = pa.array(some)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].filter(ok), batch.column(1)[lo:hi].filter(ok), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary()).filter(ok)], names=["id", "lang", "x"])
 
-    found = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary").collect()
-    found.sort(key=lambda r: (r["id"], r["lang"], r["x"]))
-    found = found[: 2 * max_train]
+    # one text for each chosen id, before anything is collected
+    once = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    found = once.select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary").collect()
+    found.sort(key=lambda r: (r["id"], r["lang"]))
     x = np.array([np.frombuffer(bytes(r["x"]), "<f2") for r in found], np.float32).reshape(len(found), DIM)
     return LanguageModel(x, np.array([r["lang"] for r in found], dtype=object), families)
 

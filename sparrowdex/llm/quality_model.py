@@ -15,11 +15,14 @@ Passes: one for the table (each task emits one table, summed by row block, level
 the labelled documents, one for the scores. Only the table (`buckets` x `dim` small
 integers) and the network are broadcast; neither grows with the data.
 
-Defined results: a document without tokens (null, empty or blank text) has no
+Defined results: texts of any length are read whole. A document without tokens (null, empty or blank text) has no
 probability (null) and isn't rejected, nor is one of fewer than `min_tokens`. If the labels hold fewer than `min_class`
 documents of either class, nothing is known and every probability is null. Labels
-that are null, or contradict each other for one id, are ignored. Each row is scored
-by its own text; extra columns are passed through."""
+that are null, or contradict each other for one id, are ignored; of documents that share
+a labelled id, the least text is trained on. Each row, repeated or not, is scored by its
+own text: equal texts have equal probabilities. Equal hashes of ids are settled by the id.
+Empty tables give an unknown model and no rows; extra columns are passed through by
+`keep_good`, whatever their names, and never read."""
 
 from __future__ import annotations
 
@@ -186,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 ok = pa.array(counts > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].filter(ok), batch.column(2)[lo:hi].filter(ok), pa.array([r.tobytes() for r in x], pa.binary()).filter(ok)], names=["id", "y", "x"])
 
-    found = rows.select("id", "text", "y").mapInArrow(features, "id long, y int, x binary").collect()
-    found.sort(key=lambda r: (r["id"], r["x"]))
-    found = found[: 2 * max_labelled]  # more only where the documents repeat labelled ids
+    once = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # one text for each id, before anything is collected
+    found = once.select("id", "text", "y").mapInArrow(features, "id long, y int, x binary").collect()
+    found.sort(key=lambda r: r["id"])
     y = np.array([r["y"] for r in found])
     if len(y) == 0 or min((y == 0).sum(), (y == 1).sum()) < min_class:
         return Model(table, None)

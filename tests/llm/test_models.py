@@ -92,6 +92,64 @@ def test_languages_in_one_family():
     assert best.tolist() == [0, 1, 2]
 
 
+def slow_features(text, dim):
+    """Counts of byte runs in a dictionary, their hashes in plain integers."""
+    low = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    folded = [b + 1 if b >= 128 or chr(b).isalnum() else 0 for b in low]
+    mask, counts = (1 << 64) - 1, {}
+    for size in (1, 2, 3):
+        for k in range(len(folded) - size + 1):
+            run = folded[k : k + size]
+            if run[0] or run[-1]:
+                x = size
+                for b in run:
+                    x = (x * 257 + b) & mask
+                x = x * 0x9E3779B97F4A7C15 & mask
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+                key = ((x ^ x >> 31) >> 20) % dim
+                counts[key] = counts.get(key, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    return {k: n**0.5 / norm for k, n in counts.items()} if any(folded) else None
+
+
+def slow_vote(x, machines):
+    names, k = machines.names, len(machines.names)
+    votes, margin = [0] * k, [0.0] * k
+    for j, (a, b) in enumerate(machines.pairs):
+        m = sum(v * machines.w[i, j] for i, v in x.items()) + machines.w[-1, j]
+        votes[a if m >= 0 else b] += 1
+        margin[a] += m
+        margin[b] -= m
+    best = max(range(k), key=lambda i: (votes[i], margin[i], -i))
+    return best, names[best], margin[best] / max(1, k - 1)
+
+
+def test_languages_match_plain_features_and_votes(spark):
+    docs = loaded(spark).withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
+    model = langid.fit(docs)
+    assert model.family.names == ["germanic", "romance", "xx"]  # a language of no family is its own
+    odd = documents(spark, ODD).select("doc_id", "text").union(docs.select("doc_id", "text"))
+    rows = {(r["doc_id"], r["text"]) for r in odd.collect()}
+    want = []
+    for i, text in rows:
+        if (x := slow_features(text, langid.DIM)) is None:
+            want.append((i, None, None, None))
+        else:
+            k, family, _ = slow_vote(x, model.family)
+            want.append((i, family, *slow_vote(x, model.within[k])[1:]))
+    got = {(r["doc_id"], r["family"], r["predicted"], r["margin"] and round(r["margin"], 4)) for r in langid.identify(odd.distinct(), model).collect()}
+    assert sorted(got, key=str) == sorted({(i, f, p, m and round(m, 4)) for i, f, p, m in want}, key=str)
+
+
+def test_languages_are_learned_from_few_rows_of_repeated_ids(spark):
+    rows = [(1, f"le la les {k}", "fr") for k in range(300)] + [(10 + k, "the of and to", "en") for k in range(5)] + [(20 + k, "der die das", "de") for k in range(4)]
+    docs = documents(spark, rows)
+    model = langid.fit(docs, max_train=8)
+    assert [m.names for m in model.within] == [["de", "en"], ["fr"]]
+    assert langid.fit(docs, max_languages=2).family.names == ["germanic"]  # en and de have the most ids
+
+
 def test_languages_odd_rows(spark):
     docs = loaded(spark)
     odd = documents(spark, ODD, clashing=True)
