@@ -59,13 +59,14 @@ def merged(parts: DataFrame, key: str, schema: str, merge: Callable[[pd.DataFram
         return merge(pdf).assign(part=pdf["part"].iloc[0] // MERGE)
 
     out = parts.withColumn("part", F.spark_partition_id().cast("long"))
-    while True:
+    while n_parts > MERGE:
         out = out.groupBy(key, F.floor(F.col("part") / MERGE).alias("into")).applyInPandas(one, f"{schema}, part long")
         n_parts = -(-n_parts // MERGE)
-        if n_parts <= 1:
-            return out.drop("part")
+    # by the key alone: one row is left for each even if there were more tasks than thought
+    return out.drop("part").groupBy(key).applyInPandas(merge, schema)
 
 
 def partitions(df: DataFrame) -> int:
-    """Number of partitions of a scan without a shuffle; nothing is run."""
+    """Number of partitions that a scan is planned with. It only sets the number of levels in
+    `merged`; for a DataFrame with a shuffle in it, that shuffle runs to find it."""
     return df.rdd.getNumPartitions()

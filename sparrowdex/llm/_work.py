@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: the session's spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made, once per session, and set as the checkpoint folder."""
+    Only where the session names none and runs in one process (tests) a temporary folder
+    is made, once per session, and set as the checkpoint folder; on a cluster, whose
+    executors couldn't reach it, a missing setting is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparrowdex-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -63,11 +67,6 @@ class Workspace:
             pass
 
 
-def total_bytes(df: DataFrame, column: str) -> int:
-    """Bytes of a string column, for the decision whether it may be broadcast."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0)).alias("n")).first()["n"]
-
-
 def text_key(text: Column) -> Column:
     """64-bit key of a text, null included, independent of plain xxhash64(text)."""
     return F.xxhash64(F.lit("row"), text)

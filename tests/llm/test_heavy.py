@@ -35,6 +35,8 @@ def test_levels_merge_everything(spark):
     add = lambda pdf: pd.DataFrame({"k": pdf["k"].iloc[:1], "v": [pdf["v"].sum()]})
     got = merged(parts, "k", "k long, v long", add, 300)
     assert sorted(map(tuple, got.collect())) == [(0, 167), (1, 167), (2, 166)]
+    got = merged(parts, "k", "k long, v long", add, 3)  # more tasks than thought: still one row for each key
+    assert sorted(map(tuple, got.collect())) == [(0, 167), (1, 167), (2, 166)]
 
 
 def test_candidates_hold_every_frequent_word(spark):
