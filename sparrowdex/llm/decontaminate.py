@@ -10,22 +10,31 @@ bytes can fit; unknown blocks move it by m - block + 1. Where the shift is 0, th
 bucket of that suffix block holds the patterns to compare byte by byte. Most of a
 text is never looked at.
 
-Patterns are shipped to the tasks in sets of at most `max_bytes`, each with a pass
-of its own over the documents, so that nothing large is broadcast however many
-items the benchmark has.
-
-Defined results: null or wordless texts and items never match. Item ids may be
-null or repeated (a match names the id once). Rows that repeat a document give one
-row per (doc_id, item_id) with the largest counts."""
+The distinct patterns are made by Spark, numbered and written to the shared folder in
+sets of about `max_bytes`; a task reads the set it searches for from there. Neither the
+driver nor a broadcast holds them, however many items the benchmark has, and every set
+is one more pass over the texts.
+
+Defined results: null or wordless texts and items never match; texts and items of any
+length are used whole. Item ids may be null or repeated: items that share an id are one
+item with the patterns of all. Documents that share an id, or have none, count as one:
+n_patterns is the number of the item's distinct patterns that occur in any of them.
+Nothing is ranked, so there are no ties. Empty tables match nothing. Extra columns are
+passed through by `decontaminate`, whatever their names, and never read."""
 
 from __future__ import annotations
 
-
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import Workspace
+
 WORDS, BLOCK, MAX_BYTES = 13, 8, 8 << 20
+COST = 4  # bytes of a set for each byte of a pattern, with its place in both tables
+CHAIN = 8  # sets searched for in one pass of `decontaminate`, each by a worker of its own
 
 
 def normalised(text: Column) -> Column:
@@ -64,61 +73,61 @@ class WuManber:
             end += 1
 
 
-def item_patterns(items: list[tuple[int | None, str]], words: int) -> dict[str, list]:
-    """Pattern -> item ids, from normalised item texts."""
-    out: dict[str, list] = {}
-    for item, text in items:
-        w = text.split()
-        for k in range(max(1, len(w) - words + 1) if w else 0):
-            own = out.setdefault(f" {' '.join(w[k : k + words])} ", [])
-            if item not in own:
-                own.append(item)
-    return out
-
-
-def _parts(patterns: dict[str, list], max_bytes: int) -> list[dict[str, list]]:
-    parts, size = [], max_bytes
-    for p in sorted(patterns):
-        if size + len(p) > max_bytes:
-            parts.append({})
-            size = 0
-        parts[-1][p] = patterns[p]
-        size += 4 * len(p)  # with its place in both tables
-    return parts
-
-
-def _hits(machine: WuManber, items: list[list], text: bytes) -> dict:
-    """Item -> pattern numbers that occur."""
-    hits: dict = {}
-    for _, k in machine.search(text):
-        for item in items[k]:
-            hits.setdefault(item, set()).add(k)
-    return hits
-
-
-def _matcher(part: dict[str, list], block: int):
-    names, items = [p.encode() for p in part], list(part.values())
-
+class Patterns:
+    """The benchmark's distinct patterns (number, pattern) in sets, and (number, item)."""
+
+    def __init__(self, benchmark: DataFrame, words: int, max_bytes: int):
+        self.work = Workspace(benchmark.sparkSession, "patterns")
+        w = F.split(F.trim("t"), " ")
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (words - 1)))
+        runs = (
+            benchmark.select(F.col("item_id").cast("long").alias("item"), normalised(F.col("text")).alias("t"))
+            .filter("t is not null and trim(t) <> ''")
+            .select("item", w.alias("w"))
+            .select("item", "w", F.explode(starts).alias("k"))
+            .select("item", F.concat(F.lit(" "), F.array_join(F.slice("w", F.col("k"), words), " "), F.lit(" ")).alias("pattern"))
+        )
+        runs = self.work.save(runs.distinct(), "runs")
+        # numbers are final once they are written
+        kinds = self.work.save(runs.select("pattern").distinct().withColumn("number", F.monotonically_increasing_id()), "kinds")
+        size = kinds.agg(F.coalesce(F.sum(F.octet_length("pattern").cast("long")), F.lit(0))).first()[0]
+        self.sets = -(-COST * size // max_bytes)
+        of = F.pmod(F.xxhash64("pattern"), F.lit(max(1, self.sets))).cast("int")
+        self.by_set = self.work.save(kinds.withColumn("part", of).repartition("part"), "sets", ["part"])
+        self.items = runs.join(kinds, "pattern").select("number", "item")
+
+    def path(self, k: int) -> str:
+        return f"{self.by_set._sparrowdex_path}/part={k}"
+
+
+def _machine(path: str, block: int) -> tuple[WuManber, list[int]]:
+    """A set's machine and the numbers of its patterns; an empty set has no folder."""
+    disk, folder = fs.FileSystem.from_uri(path)
+    if disk.get_file_info(folder).type == fs.FileType.NotFound:
+        return WuManber([], block), []
+    files = [f.path for f in disk.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
+    rows = pa.concat_tables([pq.ParquetFile(disk.open_input_file(f)).read(columns=["pattern", "number"]) for f in files])
+    return WuManber([p.encode() for p in rows["pattern"].to_pylist()], block), rows["number"].to_pylist()
+
+
+def _matcher(path: str, block: int):
     def run(batches):
-        machine = WuManber(names, block)
+        machine, numbers = _machine(path, block)
         for batch in batches:
-            docs, found, n = [], [], []
+            docs, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if text is not None:
-                    for item, kinds in _hits(machine, items, text).items():
-                        docs.append(doc)
-                        found.append(item)
-                        n.append(len(kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "n_patterns"])
+                    own = {k for _, k in machine.search(text)}
+                    docs += [doc] * len(own)
+                    found += [numbers[k] for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "number"])
 
     return run
 
 
-def _clean(part: dict[str, list], block: int):
-    names = [p.encode() for p in part]
-
+def _clean(path: str, block: int):
     def run(batches):
-        machine = WuManber(names, block)
+        machine, _ = _machine(path, block)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([t is None or next(machine.search(t), None) is None for t in texts], pa.bool_()))
@@ -126,30 +135,33 @@ def _clean(part: dict[str, list], block: int):
     return run
 
 
-def _patterns(benchmark: DataFrame, words: int, max_bytes: int) -> list[dict[str, list]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item"), normalised(F.col("text")).alias("t")).filter("t is not null")
-    return _parts(item_patterns([(r["item"], r["t"]) for r in rows.toLocalIterator()], words), max_bytes)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_patterns): n_patterns counts the item's distinct
-    patterns that occur in the document."""
+    """(doc_id, item_id, n_patterns) of the documents that hold a pattern of an item."""
+    patterns = Patterns(benchmark, words, max_bytes)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    schema, keys = "doc_id long, item_id long, n_patterns long", ["doc_id", "item_id"]
-    out = docs.sparkSession.createDataFrame([], schema)
-    for k, part in enumerate(_patterns(benchmark, words, max_bytes)):
-        # repeated rows have the same hits; the parts hold different patterns
-        found = text.mapInArrow(_matcher(part, block), schema).groupBy(*keys).agg(F.max("n_patterns").alias("n_patterns"))
-        out = out.union(found) if k else found
-    return out.groupBy(*keys).agg(F.sum("n_patterns").alias("n_patterns"))
+    hits = docs.sparkSession.createDataFrame([], "doc_id long, number long")
+    for k in range(patterns.sets):
+        own = text.mapInArrow(_matcher(patterns.path(k), block), "doc_id long, number long")
+        hits = hits.union(own) if k else own
+    found = hits.distinct().join(patterns.items, "number").groupBy("doc_id", F.col("item").alias("item_id"))
+    return found.agg(F.count("*").alias("n_patterns"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The rows of `docs`, all columns, in which no pattern occurs: a map, without a shuffle."""
+    """The rows of `docs`, all columns, in which no pattern occurs: a map, without a shuffle.
+
+    Every CHAIN sets the rows that are left are written, so that a task holds at most so many sets."""
+    patterns = Patterns(benchmark, words, max_bytes)
     names = [f"c{k}" for k in range(len(docs.columns))]
     out = docs.toDF(*names).withColumn("__normalised", normalised(F.col(names[docs.columns.index(text_col)])))
-    for part in _patterns(benchmark, words, max_bytes):
-        out = out.mapInArrow(_clean(part, block), out.schema)
+    before = None
+    for k in range(patterns.sets):
+        if k and k % CHAIN == 0:
+            now = patterns.work.save(out, "left")
+            if before is not None:
+                patterns.work.drop(before)
+            out = before = now
+        out = out.mapInArrow(_clean(patterns.path(k), block), out.schema)
     return out.drop("__normalised").toDF(*docs.columns)
 
 

@@ -28,20 +28,21 @@ def test_leaks_match_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]): r["n_patterns"] for r in decontaminate.matches(docs, bench).collect()}
     want = leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
     assert want and got == want
-    many = decontaminate.matches(docs, bench, max_bytes=3000)  # several passes
+    many = decontaminate.matches(docs, bench, max_bytes=36_000)  # several passes
+    assert decontaminate.Patterns(bench, 13, 36_000).sets > decontaminate.CHAIN  # and rows written between them
     assert {(r["doc_id"], r["item_id"]): r["n_patterns"] for r in many.collect()} == want
-    kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, max_bytes=3000).collect()}
+    kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, max_bytes=36_000).collect()}
     assert kept == {r["doc_id"] for r in docs.collect()} - {d for d, _ in want}
 
 
 def test_leaks_odd_rows(spark):
     passage = " ".join(f"word{k}" for k in range(20))
-    rows = [(1, None), (2, ""), (3, " .! "), (4, passage), (4, passage), (None, "x " + passage.upper().replace(" ", ", ")), (5, "a " * 400_000 + "Short item!"), (6, passage[4:]), (7, " ".join(passage.split()[:12])), (8, "shortitem short items")]
-    items = [(1, passage), (1, passage), (None, "short item"), (2, None), (3, ""), (4, "...")]
+    rows = [(1, None), (2, ""), (3, " .! "), (4, passage), (4, passage), (None, "x " + passage.upper().replace(" ", ", ")), (5, "a " * 400_000 + "Short item!"), (6, passage[4:]), (7, " ".join(passage.split()[:12])), (8, "shortitem short items"), (9, passage[:90]), (9, passage[-90:]), (9, passage[-90:])]
+    items = [(1, passage), (1, passage), (1, "an extra short one"), (None, "short item"), (2, None), (3, ""), (4, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, rows, clashing=True)
     got = sorted(map(tuple, decontaminate.matches(docs, bench).collect()), key=str)
-    assert got == sorted([(4, 1, 8), (None, 1, 8), (5, None, 1), (6, 1, 7)], key=str)
+    assert got == sorted([(4, 1, 8), (None, 1, 8), (5, None, 1), (6, 1, 7), (9, 1, 3)], key=str)
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 7, 8]
     none = bench.filter("false")
