@@ -212,6 +212,31 @@ def test_divergence_matches_brute_force(spark):
     assert np.allclose([g[3:] for g in got], [w[3:] for w in want], atol=2e-6)
 
 
+def test_many_languages_and_those_without_a_reference(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices([f"w{k % 40}x{j}" for j in range(60)], k=200)), f"l{k % 40}") for k in range(400)] + [(900, "alone " * 60, "rare"), (901, None, "never")]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.divergence(docs).collect()}
+    plain = slow_distances([r[1:] for r in rows], quality_rules.COMMON)
+    assert np.allclose([got[k]["word_distance"] for k in range(400)], [plain[k][3] for k in range(400)], atol=2e-6)
+    few = {r["doc_id"]: r for r in quality_rules.divergence(docs, max_languages=40).collect()}
+    assert few[900]["word_distance"] is None and few[900]["char_distance"] is None and few[900]["keep"] and few[901]["keep"] and [few[k] for k in range(400)] == [got[k] for k in range(400)]
+    # what a piece of texts needs doesn't grow with the languages
+    import tracemalloc
+
+    peak = []
+    data = " ".join(f"w{j}" for j in range(20)).encode() * 3000
+    offs = np.arange(3001) * (len(data) // 3000)
+    for n in (4, 400):
+        names = [f"l{k:03}" for k in range(n)]
+        ref = quality_rules.Reference({x: [1] * 6 for x in names}, dict.fromkeys(names, 10_000), {x: {int(h): 100 for h in np.arange(80, dtype=np.uint64) * np.uint64(7919)} for x in names})
+        tracemalloc.start()
+        ref.distances(np.frombuffer(data, np.uint8), offs, np.arange(3000) % n)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 1.5 * peak[0]
+
+
 def test_divergence_odd_rows(spark):
     odd = documents(spark, ODD, clashing=True)
     rows = {r["doc_id"]: r for r in quality_rules.divergence(odd).collect()}
