@@ -8,33 +8,44 @@ are correlated and each level covers new components. Elements advance level by
 level; a document stops at the level that fills its last component, because all
 later offers are larger.
 
-Plan, for N documents:
+Plan:
 1. one pass over the texts gives signatures, written to the shared folder;
-2. documents with the same token sequence collapse to their least id;
-3. (band, bucket) rows of the remaining ones are grouped, ids only;
-4. every bucket's least id is paired with its other members; pairs are verified
+2. texts of the same token sequence are one class, made by a combined aggregate;
+   everything below is about classes, which are numbered;
+3. (band, bucket) rows of the classes: a combined aggregate finds the least class of
+   each bucket, its hub, and a join brings it to the other members, numbers only;
+4. only texts of classes that share a bucket are fetched, once each;
+5. every hub is paired with the other members of its buckets; pairs are verified
    by exact Jaccard similarity of the full shingle sets and united;
-5. where a bucket still has members of several components, all pairs across
+6. where a bucket still has members of several components, all pairs across
    components are verified as well. Pairs inside a component need no check, as
    they can't change the grouping: the groups are exactly the connected
    components of all verified candidate pairs, without a pair per two copies.
 
-Defined results: a null or token-free text is in no group but its own, and such
-documents aren't duplicates of each other. Rows with a null id get no result in
-`groups` and stay in `keep_one`. Rows that repeat an id count as one document
-when they have the same text; with different texts the id joins the groups of
-all its texts. Ties go to the least id. Extra columns don't matter."""
+Before a pair's texts are compared, 8-bit parts of the two signatures are: a pair is
+given up where they agree five standard deviations more rarely than `threshold` demands,
+which befalls a pair at the threshold with a probability of some 3e-7 (one more similar
+with less), beside 0.08 of never sharing a bucket.
+
+Defined results: a row is known by its id and text. A null, empty or token-free text is in
+no group but its own, and such rows aren't duplicates of each other. Texts of any length
+are compared whole. In `groups`, rows with a null id get no result, and an id with
+several texts joins the groups of all of them. `keep_one` judges each row by its own
+text: of a group the row with the least id stays, and rows without an id come after all
+others; rows that share an id are ordered by a hash of their text; of rows equal in id
+and text one stays (the least as JSON). Empty tables give no rows. Extra columns,
+whatever their names, are kept and don't matter."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tokens import U, Tokens, chunks, mix, shingles
-from ._work import Workspace
+from ._work import Workspace, text_key
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 LAZY = 6  # levels before an element's permutation is held in full
@@ -102,12 +113,11 @@ def _finish(doc, element, before, n_docs, m, sig) -> None:
 
 def _sketch(shingle: int, bands: int, rows: int):
     m = bands * rows
-    schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("same2", pa.int64()), ("low", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("absent", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("same", pa.int64()), ("same2", pa.int64()), ("low", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in chunks(batch.column(1)):
+            for lo, hi, data, offs in chunks(batch.column(3)):
                 t = Tokens(data, offs)
                 d, e = shingles(t, shingle)
                 sig = signatures(d, e, hi - lo, m)
@@ -123,7 +133,7 @@ def _sketch(shingle: int, bands: int, rows: int):
                 low = np.ascontiguousarray(mix(sig) & U(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[lo:hi][filled], pa.int64()),
+                        *(batch.column(c)[lo:hi].take(pa.array(filled)) for c in range(3)),
                         pa.array(same[0][filled].view(np.int64)),
                         pa.array(same[1][filled].view(np.int64)),
                         pa.array([x.tobytes() for x in low], pa.binary()),
@@ -143,8 +153,7 @@ def _sum_by(doc: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _agree(pairs: DataFrame, low: DataFrame, m: int, threshold: float) -> DataFrame:
-    """Drops pairs whose 8-bit signature parts agree too rarely for `threshold`
-    (five standard deviations below it, so that no true pair is lost)."""
+    """Drops pairs whose 8-bit signature parts agree too rarely for `threshold`: see the module."""
     least = int(m * (threshold - 5 * (threshold * (1 - threshold) / m) ** 0.5))
     if least <= 0:
         return pairs
@@ -156,7 +165,7 @@ def _agree(pairs: DataFrame, low: DataFrame, m: int, threshold: float) -> DataFr
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), m) for s in (a, b))
         return pd.Series((x == y).sum(axis=1) >= least)
 
-    a, b = (low.select(F.col("id").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
+    a, b = (low.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").filter(close("low_a", "low_b")).select("a", "b")
 
 
@@ -182,7 +191,7 @@ def _jaccard(shingle: int, threshold: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(shingle, threshold), "a long, b long, jaccard double")
 
 
@@ -217,10 +226,11 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     now = work.save(edges.toDF("a", "b").mapInArrow(_forest, "node long, root long"), "forest")
     while not _is_star(now):
         both = now.select("node", "root").union(now.select("root", "node")).toDF("x", "y")
-        w = Window.partitionBy("x")
-        large = both.select(F.col("y").alias("node"), F.least(F.min("y").over(w), "x").alias("root"), "x").filter("node > x").select("node", "root").distinct()
-        least = large.withColumn("m", F.min("root").over(Window.partitionBy("node")))
-        stars = least.select("node", F.col("m").alias("root")).union(least.select(F.col("root").alias("node"), F.col("m").alias("root"))).filter("node <> root").distinct()
+        least = both.groupBy("x").agg(F.min("y").alias("m"))
+        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("node"), F.least("m", "x").alias("root")).distinct()
+        least = large.groupBy("node").agg(F.min("root").alias("m"))
+        small = large.join(least, "node")
+        stars = small.select("node", F.col("m").alias("root")).union(small.select(F.col("root").alias("node"), F.col("m").alias("root"))).filter("node <> root").distinct()
         after = work.save(stars, "stars")
         work.drop(now)
         now = after
@@ -233,38 +243,108 @@ def _is_star(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("least")).filter("up > 1 or up = 1 and least = 0").isEmpty()
 
 
+KEY = ["absent", "id", "row"]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(absent, id, row, text): rows without an id sort after the others."""
+    i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(i.isNull().cast("int").alias("absent"), F.coalesce(i, F.lit(0)).alias("id"), text_key(text).alias("row"), text.alias("text"))
+
+
+_SKETCH = "absent int, id long, row long, same long, same2 long, low binary, keys array<long>"
+
+
+class Classes:
+    """The classes of equal token sequences in some texts, and the edges between similar ones."""
+
+    def __init__(self, texts: DataFrame, earlier: DataFrame | None, shingle: int, bands: int, rows: int, threshold: float):
+        """`earlier` texts count for the ids that `texts` holds, unless they are the same."""
+        self.work = work = Workspace(texts.sparkSession, "superminhash")
+        run = _sketch(shingle, bands, rows)
+        sketch = work.save(texts.mapInArrow(run, _SKETCH).withColumn("own", F.lit(1)), "sketch")
+        if earlier is not None:
+            earlier = earlier.filter("absent = 0")
+            now = sketch.filter("absent = 0").select(F.col("id").alias("now_id"), F.col("row").alias("now_row"))
+            more = earlier.mapInArrow(run, _SKETCH).join(now, (F.col("id") == F.col("now_id")) & (F.col("row") != F.col("now_row")), "left_semi")
+            sketch = sketch.unionByName(work.save(more.withColumn("own", F.lit(0)), "earlier"))
+            texts = texts.union(earlier)
+        # rows are combined before the shuffle: a text that very many rows share is one row per task
+        same = sketch.groupBy("same", "same2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("low").alias("low"), F.first("keys").alias("keys"))
+        # numbers are final once they are written
+        self.table = work.save(same.select("same", "same2", "rep.*", "low", "keys").withColumn("node", F.monotonically_increasing_id()), "classes")
+        every = sketch.groupBy("own", *KEY, "same", "same2").agg(F.count("*").alias("copies"))
+        self.members = work.save(every.join(self.table.select("same", "same2", "node"), ["same", "same2"]).select("own", *KEY, "copies", "node"), "members")
+        self.near = self._edges(texts, shingle, bands * rows, threshold)
+
+    def _edges(self, texts: DataFrame, shingle: int, m: int, threshold: float) -> DataFrame:
+        work = self.work
+        low = self.table.select("node", "low")
+        keys = self.table.select("node", F.explode("keys").alias("key"))
+        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub <> most").drop("most")
+        buckets = work.save(keys.join(hubs, "key").select("key", "node", "hub"), "buckets")
+        needed = buckets.select("node").distinct().join(self.table.select(*KEY, "node"), "node")
+        once = texts.groupBy(*KEY).agg(F.first("text").alias("text"))
+        found = work.save(once.join(needed, KEY).select("node", "text"), "texts")
+        pairs = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        near = work.save(_verified(_agree(pairs, low, m, threshold), found, shingle, threshold), "near")
+        # buckets that still hold several components
+        roots = components(near.select("a", "b"), work)
+        member = buckets.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
+        several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        open_ = work.save(member.join(several, "key").filter("node <> hub").select("key", "node", "root"), "open")
+        x, y = (open_.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        across = x.join(y, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
+        rest = work.save(_verified(_agree(across, low, m, threshold), found, shingle, threshold), "rest")
+        work.drop(found, buckets, open_)
+        return near.select("a", "b").union(rest.select("a", "b"))
+
+    def rooted(self, links: DataFrame) -> DataFrame:
+        """The members with the root of their group, over the similar pairs and `links`."""
+        roots = components(self.near.union(links.select("a", "b")), self.work)
+        return self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of every document that has a near duplicate, its group's
     least id included; see the module for the defined results.
 
     With 40 bands of 4 rows, a pair is a candidate with probability 0.92 at
     similarity 0.5, 0.996 at 0.6 and above 0.9999 at 0.7."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "superminhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    sketch = work.save(texts.mapInArrow(_sketch(shingle, bands, rows), "id long, same long, same2 long, low binary, keys array<long>"), "sketch")
-    exact = work.save(sketch.select("id", F.min("id").over(Window.partitionBy("same", "same2")).alias("root")).filter("id <> root").distinct(), "exact")
-    reps = sketch.join(exact.select("id"), "id", "left_anti").select("id", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    buckets = work.save(reps.select("key", "id", F.min("id").over(w).alias("hub"), F.max("id").over(w).alias("most")).filter("hub <> most").drop("most"), "buckets")
-    low, m = sketch.select("id", "low"), bands * rows
-    pairs = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = work.save(_verified(_agree(pairs, low, m, threshold), texts, shingle, threshold), "near")
-    found = components(near.select("a", "b"), work)
-    # buckets that still hold several components
-    member = buckets.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = member.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).filter("lo <> hi and id <> hub").select("key", "id", "root")
-    open_ = work.save(split, "open")
-    x, y = (open_.select("key", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    across = x.join(y, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    rest = work.save(_verified(_agree(across, low, m, threshold), texts, shingle, threshold), "rest")
-    edges = near.select("a", "b").union(rest.select("a", "b")).union(exact)
-    final = components(edges, work)
-    return final.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).union(final.select("root", "root").distinct())
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, without those of group members other than
-    the least id. Rows with a null id or an empty text stay."""
-    gone = groups(docs, id_col, text_col, **options).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
+    c = Classes(_texts(docs, id_col, text_col), None, shingle, bands, rows, threshold)
+    named = c.members.filter("absent = 0").select("id", "node")
+    several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("id", "a")
+    links = named.join(several, "id").filter("a <> node").select("a", F.col("node").alias("b"))
+    found = c.rooted(links).filter("absent = 0").select("id", "root").distinct()
+    least = found.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
+    return found.join(least, "root").select(F.col("id").alias("doc_id"), "group_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", earlier: DataFrame | None = None, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, without those that a group's least row, or an equal row, stands for.
+
+    `earlier` holds the texts (same column names) that the documents had before some of their
+    lines were taken out. Two documents are then similar if their present or their earlier
+    texts are. An id with several earlier texts is judged by its present ones alone."""
+    before = None if earlier is None else _texts(earlier, id_col, text_col)
+    c = Classes(_texts(docs, id_col, text_col), before, shingle, bands, rows, threshold)
+    named = c.members.filter("absent = 0")
+    was = named.filter("own = 0").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a = most")
+    links = was.join(named.filter("own = 1").select("id", F.col("node").alias("b")), "id").filter("a <> b").select("a", "b")
+    rooted = c.work.save(c.rooted(links).filter("own = 1").select(*KEY, "copies", "root"), "rooted")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(*KEY)).alias("kept"))
+    marked = rooted.join(kept, "root").withColumn("stays", F.struct(*KEY) == F.col("kept"))
+    out = c.work.save(marked.filter("not stays or copies > 1").select(*[F.col(k).alias(f"__{k}") for k in KEY], "stays"), "out")
+
+    def same(df: DataFrame) -> Column:
+        i = df[id_col].cast("long")
+        return (i.isNull().cast("int") == F.col("__absent")) & (F.coalesce(i, F.lit(0)) == F.col("__id")) & (text_key(df[text_col].cast("string")) == F.col("__row"))
+
+    rest = docs.join(out.drop("stays"), same(docs), "left_anti")
+    again = out.filter("stays")
+    if again.isEmpty():
+        return rest
+    # rows that repeat an id and a text: one of each, combined before the shuffle
+    copies = docs.join(again, same(docs)).select(*[F.col(f"__{k}") for k in KEY], F.struct(*[docs[c] for c in docs.columns]).alias("__all"))
+    one = copies.groupBy(*[f"__{k}" for k in KEY]).agg(F.min_by("__all", F.to_json("__all")).alias("__all"))
+    return rest.unionByName(one.select("__all.*"))

@@ -6,6 +6,7 @@ import pytest
 from brute import CLASHING, components, dedup_lines, documents, jaccard, loaded, near_groups, shingle_set, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparrowdex.llm import line_dedup, superminhash
 from sparrowdex.llm._tokens import Tokens, shingles
@@ -142,10 +143,64 @@ def test_groups_odd_rows(spark):
     docs = documents(spark, rows, clashing=True)
     kept = superminhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 5, 5, None, 8, 10]))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 5, 8, 10]))
     assert superminhash.groups(documents(spark, [])).count() == 0 == superminhash.keep_one(documents(spark, [])).count()
 
 
+def slow_keep_one(rows, threshold=0.5):
+    """Rows (id, text) that stay: of each component of similar rows the first, null ids last."""
+    rows = list(dict.fromkeys(r for r in rows if words(r[1])))
+    sets = [shingle_set(t) for _, t in rows]
+    group = components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(sets[a], sets[b]) >= threshold])
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        best.setdefault(group[k], []).append((i is None, i or 0, t))
+    return best
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    """An id that repeats with another text loses neither; equal rows collapse, without an id too."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(500)]
+    a, u, v, w = (" ".join(rng.choices(vocabulary, k=40)) for _ in range(4))
+    near = v.replace(v.split()[20], "other")
+    rows = [(1, a), (2, a), (2, u), (3, u.upper()), (4, v), (4, near), (5, near + " more"), (6, w), (6, w), (6, w), (None, w), (None, u + " tail"), (None, "nobody else's words at all"), (None, "nobody else's words at all"), (7, None), (7, None), (None, "")]
+    rows += [(rng.choice([None, *range(10, 20)]), rng.choice([a, u, v, " ".join(rng.choices(vocabulary, k=30))])) for _ in range(60)]
+    docs = documents(spark, rows, clashing=True).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in superminhash.keep_one(docs).collect()]
+    plain = [r for r in rows if not words(r[1])]
+    assert sorted((r for r in got if not words(r[1])), key=str) == sorted(plain, key=str)
+    got = [r for r in got if words(r[1])]
+    best = slow_keep_one(rows)
+    assert len(got) == len(set(got)) == len(best)
+    for i, t in got:  # one of each group: the one with the least id
+        own = next(g for g in best.values() if (i is None, i or 0, t) in g)
+        assert (i is None, i or 0) == min(g[:2] for g in own)
+    assert (2, u) in got and (2, a) not in got and (6, w) in got and (None, w) not in got
+
+
+def test_one_bucket_of_very_many_ids(spark):
+    """10^6 copies of one text and 10^4 near ones share every bucket: a row per copy, no window, no pair per two copies."""
+    text = " ".join(f"word{k}" for k in range(30))
+    copies = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    near = spark.range(2_000_000, 2_010_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text + " tail"), F.col("id") % 50).alias("text"))
+    found = superminhash.groups(copies.union(near))
+    assert found.count() == 1_010_000 and found.select("group_id").distinct().collect() == [(0,)]
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_earlier_texts_count_too(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choices(string.ascii_lowercase, k=1)[0] + str(rng.randrange(999)) for _ in range(12))
+    lines = [line() for _ in range(8)]
+    before = [(1, "\n".join(lines)), (2, "\n".join(lines[:7] + [line()])), (3, line()), (4, line()), (5, line()), (5, line()), (6, line())]
+    after = [before[0], (2, before[1][1].split("\n")[7]), before[2], (4, before[2][1]), (5, "left of the first"), (6, before[5][1])]
+    kept = superminhash.keep_one(documents(spark, after), earlier=documents(spark, before))
+    # 2 was a near copy of 1; 4 is one of 3 now; 5 has two earlier texts, one of which 6 has now
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6]
+    assert sorted(r["doc_id"] for r in superminhash.keep_one(documents(spark, after)).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)]
