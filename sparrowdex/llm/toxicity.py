@@ -19,7 +19,9 @@ Seed terms are given by language, or come from labelled documents: the terms who
 share among toxic ones most exceeds that among clean ones, by signed root of the likelihood ratio
 (toxic seeds, at least `seed_z`), and the most used terms with no such excess (clean
 seeds). Every term of the labelled toxic documents is tried as a toxic seed. At most
-`max_labelled` labelled ids are used, chosen by a hash of the id.
+`max_labelled` labelled ids of either kind are used, chosen by a hash of the id. Given
+seed terms are cut into tokens like texts, each of which is a seed; one that isn't
+found in its language has no effect.
 
 Frequent words are found without shuffling the vocabulary: one pass keeps a summary of
 bounded size that loses no word of that share (`_heavy`), the next counts its words
@@ -32,10 +34,12 @@ A word that only goes with words in toxic company, never with a seed or in a lab
 document, joins the graph only if it is frequent; one that two or three documents use can't
 reach `seed_z` unless toxic company is very rare.
 
-Defined results: null or tokenless texts score 0 and aren't toxic. A null language
-is a language of its own. Without seeds of either kind, a language's lexicon is
-empty. Labels that are null or contradict each other are ignored. Every row is
-scored by its own text and language."""
+Defined results: null, empty or tokenless texts score 0 and aren't toxic; texts of any
+length are read whole. Null and '' are one language. Without seeds of either kind, a
+language's lexicon is empty. Labels that are null or contradict each other are ignored.
+Every row, repeated or not, counts and is scored by its own text and language, with its id
+passed through, null ones too. Equal scores of seeds are settled by the order of the
+words. Empty tables give an empty lexicon and no rows; extra columns are never read."""
 
 from __future__ import annotations
 
@@ -463,12 +467,19 @@ class Lexicon:
         return total / np.sqrt(np.maximum(counts, 1)), np.bincount(d, minlength=n), evidence
 
 
+def _tokens_of(term: str | None) -> list[str]:
+    data = np.frombuffer((term or "").encode(), np.uint8)
+    t = Tokens(data, np.array([0, len(data)]))
+    return [_word(data, t, k).decode() for k in range(len(t.doc))]
+
+
 def induce(docs: DataFrame, labels: DataFrame | None = None, seeds: dict[str, tuple[list[str], list[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE, window: int = WINDOW, cut: float = CUT, max_cells: int = MAX_CELLS, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """The induced lexicon. `seeds` maps a language to its (toxic, clean) terms; without it they come from the labels."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(id_col).cast("long").alias("id"))
     spark = docs.sparkSession
     n_docs, words_of = candidates(rows.select("text", "lang"), min_share)
-    found = {x: sorted(set(words_of[x]) | {w.lower() for own in (seeds or {}).get(x, ()) for w in own}) for x in n_docs}
+    seeds = None if seeds is None else {x or "": tuple([t for w in own for t in _tokens_of(w)] for own in kinds) for x, kinds in seeds.items()}
+    found = {x: sorted(set(words_of[x]) | {w for own in (seeds or {}).get(x, ()) for w in own}) for x in n_docs}
     start = Vocabulary(found)
     label = _labels(labels, max_labelled) if labels is not None and seeds is None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     shared = spark.sparkContext.broadcast((start, label))
@@ -508,7 +519,7 @@ def induce(docs: DataFrame, labels: DataFrame | None = None, seeds: dict[str, tu
     common = {}
     for x, k in start.langs.items():
         at = np.arange(start.start[k], start.start[k + 1])
-        given = [{w.lower() for w in own} for own in (seeds or {}).get(x, ((), ()))]
+        given = [set(own) for own in (seeds or {}).get(x, ((), ()))]
         at = np.array([i for i in at if acc[i, 0] and (acc[i, 0] >= min_share * n_docs[x] or start.words[i] in given[0] | given[1])], np.int64)
         words[x] = [start.words[i] for i in at]
         common[x] = len(at)

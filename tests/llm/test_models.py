@@ -315,7 +315,8 @@ def test_toxic_documents_are_found(spark):
     got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, lexicon).collect()}
     assert np.mean([got[k] for k in range(600, 1500) if k % 10 == 0]) > 0.95
     assert np.mean([got[k] for k in range(1500) if k % 10]) < 0.01
-    given = toxicity.induce(docs, seeds={"en": (bad[:3], clean[:10])})
+    # seeds are cut into tokens and folded like texts
+    given = toxicity.induce(docs, seeds={"en": ([f"{bad[0].upper()}, {bad[1]}", bad[2], "", None, "ÉVIL"], clean[:10]), "xx": (["none"], [])})
     assert set(given.entries["en"]) >= set(bad)
 
 
