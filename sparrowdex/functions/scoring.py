@@ -29,4 +29,11 @@ def format_bytes(n: Column) -> Column:
 
 
 def doc_key(element_id: Column, site_id: Column) -> Column:
+    """The key that a result is known by outside: "element-site"."""
     return F.concat_ws("-", element_id.cast("string"), site_id.cast("string"))
+
+
+def parse_doc_key(key: Column) -> Column:
+    """(element_id, site_id) of such a key."""
+    parts = F.split(key, "-")
+    return F.struct(parts[0].cast("bigint").alias("element_id"), parts[1].cast("int").alias("site_id"))

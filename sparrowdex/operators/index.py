@@ -5,15 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..settings import DEFAULT, Settings
-from ..sources.elements import indexable, searchable_text
+from ..sources.elements import identified, indexable, searchable_text
 
 TABLES = {
-    "postings": "site_id int, element_id bigint, term string, freq bigint, in_title boolean",
+    "postings": "site_id int, element_id bigint, term string, freq bigint, in_title boolean, doc_len bigint",
     "doc_stats": "site_id int, element_id bigint, doc_len bigint",
     "term_dict": "site_id int, term string, doc_freq bigint, ngrams array<string>, ngram_count int",
 }
@@ -22,13 +22,15 @@ TABLES = {
 @dataclass(frozen=True)
 class Index:
     """postings: one row per site, element and term, holding the forward and the
-    inverted index and the title terms; doc_stats: element lengths; term_dict: the
-    sites' terms with their document frequencies and n-grams."""
+    inverted index, the title terms and the element's length; doc_stats: element lengths;
+    term_dict: the sites' terms with their document frequencies and n-grams. `counted` is
+    (number of documents, their length) over all sites, where a store knows them."""
 
     postings: DataFrame
     doc_stats: DataFrame
     term_dict: DataFrame
     settings: Settings = DEFAULT
+    counted: tuple[int, int] | None = None
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Index:
         return replace(self, **{n: getattr(self, n).persist(level) for n in TABLES})
@@ -39,8 +41,15 @@ class Index:
 
     def totals(self) -> DataFrame:
         """(total_docs, total_length), over all sites; one row even when empty."""
+        if self.counted is not None:
+            docs, length = (F.lit(n).cast("long") for n in self.counted)
+            return self.postings.sparkSession.range(1).select(docs.alias("total_docs"), length.alias("total_length"))
         return self.doc_stats.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_length"))
 
+    def count(self) -> Index:
+        """With its totals known, so that no search has to add them up again."""
+        return self if self.counted is not None else replace(self, counted=tuple(self.totals().first()))
+
     def title_terms(self) -> DataFrame:
         return self.postings.filter("in_title").select("site_id", "element_id", "term")
 
@@ -71,14 +80,22 @@ def term_rows(elements: DataFrame, handles: list[str] | None = None) -> DataFram
 
 
 def postings_of(elements: DataFrame, handles: list[str] | None = None) -> DataFrame:
-    """Term frequencies; a term that only the title has counts once. The one shuffle
-    is of partial counts, by (site, element, term)."""
+    """Term frequencies; a term that only the title has counts once. The one shuffle is by
+    (site, element): an element's terms are counted and its length is summed where they meet."""
     uses = F.sum(F.when(F.col("from_title"), 0).otherwise(1))
-    return term_rows(elements, handles).groupBy("site_id", "element_id", "term").agg(F.greatest(uses, F.lit(1)).cast("long").alias("freq"), F.max("from_title").alias("in_title"))
+    rows = term_rows(elements, handles).repartition("site_id", "element_id").groupBy("site_id", "element_id", "term")
+    counted = rows.agg(F.greatest(uses, F.lit(1)).cast("long").alias("freq"), F.max("from_title").alias("in_title"))
+    return counted.withColumn("doc_len", F.sum("freq").over(Window.partitionBy("site_id", "element_id")))
+
+
+def trace(elements: DataFrame, handles: list[str] | None = None) -> DataFrame:
+    """What indexing makes of each element: (element_type, site_id, element_id, indexed, title_tokens, n_tokens, text)."""
+    text_of = searchable_text(handles)
+    return elements.filter(identified()).select("element_type", "site_id", "element_id", indexable().alias("indexed"), text.tokenize(F.col("title")).alias("title_tokens"), F.size(text.remove_stop_words(text.tokenize(text_of))).alias("n_tokens"), text_of.alias("text"))
 
 
 def stats_of(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("site_id", "element_id").agg(F.sum("freq").alias("doc_len"))
+    return postings.groupBy("site_id", "element_id").agg(F.max("doc_len").alias("doc_len"))
 
 
 def with_ngrams(terms: DataFrame, settings: Settings) -> DataFrame:
@@ -101,6 +118,6 @@ def build(elements: DataFrame, settings: Settings = DEFAULT, handles: list[str]
 def bm25_postings(index: Index) -> DataFrame:
     """Every posting with its BM25 score, title boost included."""
     s = index.settings
-    rows = index.postings.join(index.doc_stats, ["site_id", "element_id"]).join(index.term_dict.select("site_id", "term", "doc_freq"), ["site_id", "term"]).crossJoin(F.broadcast(index.totals()))
+    rows = index.postings.join(index.term_dict.select("site_id", "term", "doc_freq"), ["site_id", "term"]).crossJoin(F.broadcast(index.totals()))
     score = scoring.bm25(F.col("freq"), F.col("doc_freq"), F.col("doc_len"), scoring.average_length(F.col("total_length"), F.col("total_docs")), F.col("total_docs"), s)
     return rows.select("site_id", "element_id", "term", (score * F.when(F.col("in_title"), s.title_boost).otherwise(1.0)).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import DEFAULT
 from ..sources.elements import identified
 from .index import Index, build, from_postings, postings_of
 
@@ -12,7 +13,10 @@ KEYS = ["site_id", "element_id"]
 
 
 def upsert(index: Index, changed: DataFrame, handles: list[str] | None = None) -> Index:
-    """Replaces the postings of the changed elements; those that aren't indexable (any more) only go."""
+    """Replaces the postings of the changed elements; those that aren't indexable (any more) only go.
+
+    A new index as a plan over the old one. A stored index takes changes as a segment of their
+    own instead: see ParquetStore.upsert."""
     gone = changed.filter(identified()).select(*KEYS).distinct()
     kept = index.postings.join(gone, KEYS, "left_anti")
     return from_postings(kept.unionByName(postings_of(changed, handles)), index.settings)
@@ -52,6 +56,10 @@ def latest(changes: DataFrame, order: str = "seq") -> DataFrame:
     return changes.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def rebuild(elements: DataFrame, store, settings=None, handles: list[str] | None = None) -> Index:
-    """Builds beside the live index and publishes when done; the store keeps other writers out."""
-    return store.write(build(elements, settings, handles) if settings is not None else build(elements, handles=handles))
+def rebuild(elements: DataFrame, store, settings=None, handles: list[str] | None = None, site_id: int | None = None) -> Index:
+    """Builds beside the live index and publishes when done. With a site, only that one is
+    rebuilt from its elements and pruned of the rest; the others stay as they are."""
+    settings = settings if settings is not None else DEFAULT
+    if site_id is None:
+        return store.write(build(elements, settings, handles))
+    return store.write_site(build(elements.filter(F.col("site_id") == site_id), settings, handles), site_id)

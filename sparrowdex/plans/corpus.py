@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.index import Index, build
 from ..sources.elements import elements, union_types
+from ..sources.store import ParquetStore, shared_folder
 
 SITES = {"de": 1, "en": 2, "es": 3, "fr": 4}
 TITLE = r"^[^.\n]*"
@@ -52,11 +53,11 @@ _built: dict[tuple[str, str, str], Index] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str, kind: str = "document") -> Index:
-    """The persisted index of one element type, built once per application and folder."""
+    """The stored index of one element type, built once per application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _built:
         for old in [k for k in _built if k[0] != key[0]]:
             del _built[old]
         makers = {"document": document_elements, "page": page_elements, "part": part_elements}
-        _built[key] = build(makers[kind](spark, sf_dir)).persist()
+        _built[key] = ParquetStore(spark, shared_folder(spark)).write(build(makers[kind](spark, sf_dir)))
     return _built[key]

@@ -28,7 +28,7 @@ ELEMENTS = {
 
 def index(kind: str = "document") -> str:
     """CTEs: el, body_terms, titles, postings, doc_stats, totals, dict."""
-    return rf"""el AS (SELECT * FROM ({ELEMENTS[kind]}) WHERE trim(title) <> ''),
+    return rf"""el AS (SELECT * FROM ({ELEMENTS[kind]}) WHERE title NOT IN ('', '0') AND site_id <> 0 AND element_id <> 0),
 body_terms AS (SELECT site_id, element_id, term, count(*) AS tf FROM (SELECT site_id, element_id, unnest({tokens('body')}) AS term FROM el) WHERE term NOT IN ({STOP}) GROUP BY ALL),
 titles AS (SELECT DISTINCT site_id, element_id, term FROM (SELECT site_id, element_id, unnest({tokens('title')}) AS term FROM el)),
 postings AS (

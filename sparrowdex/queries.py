@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scoring, similarity, text
 from .operators import maintain, stats
 from .operators import search as s
-from .operators.index import bm25_postings, postings_of
+from .operators.index import bm25_postings, postings_of, trace
 from .plans import corpus, oracle
 from .settings import DEFAULT
 from .sources import elements as el
-from .sources.store import ParquetStore
-from .streaming.incremental import index_stream
+from .sources.store import ParquetStore, shared_folder
+from .streaming.incremental import apply_batch, index_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,10 +70,10 @@ def stopword_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"SELECT doc_id, array_to_string(CASE WHEN len(g) > 0 THEN g ELSE t END, ' ') AS tokens FROM (SELECT doc_id, t, list_filter(t, lambda x: x NOT IN ({oracle.STOP})) AS g FROM "
-    rf"(SELECT doc_id, {oracle.tokens(chr(39) + 'The ' + chr(39) + r" || regexp_extract(text, '^[^.\n]*', 0)")} AS t FROM documents))"
+    rf"(SELECT doc_id, {oracle.tokens(chr(39) + 'The ' + chr(39) + ' || text')} AS t FROM documents))"
 )
 def query_token_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.concat(F.lit("The "), F.regexp_extract("text", corpus.TITLE, 0))
+    asked = F.concat(F.lit("The "), "text")
     return corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.query_tokens(text.tokenize(asked)), " ").alias("tokens"))
 
 
@@ -114,9 +111,18 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.index_of(spark, sf_dir).term_documents("thanedble")
 
 
-@query(_with_index("SELECT term, freq FROM postings WHERE site_id = 2 AND element_id = 0"))
+@query(_with_index("SELECT term, freq FROM postings WHERE site_id = 2 AND element_id = (SELECT min(element_id) FROM postings WHERE site_id = 2)"))
 def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.index_of(spark, sf_dir).document_terms(EN, 0)
+    index = corpus.index_of(spark, sf_dir)
+    return index.document_terms(EN, index.documents(EN).agg(F.min("element_id")).first()[0])
+
+
+@query(_with_index("SELECT site_id, element_id, count(*) AS n_terms, element_id || '-' || site_id AS doc_key FROM postings GROUP BY ALL"))
+def result_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by the keys that results are known by, rendered and parsed again."""
+    key = scoring.doc_key(F.col("element_id"), F.col("site_id"))
+    rows = corpus.index_of(spark, sf_dir).postings.groupBy(key.alias("doc_key")).agg(F.count("*").alias("n_terms"))
+    return rows.select(scoring.parse_doc_key(F.col("doc_key")).alias("k"), "n_terms", "doc_key").select("k.site_id", "k.element_id", "n_terms", "doc_key")
 
 
 @query(_with_index("SELECT DISTINCT term FROM dict"))
@@ -162,6 +168,13 @@ def jaccard_candidates_by_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(s.similar_terms(corpus.index_of(spark, sf_dir), _asked(spark), False).select("site_id", "token", "term", "similarity"), "similarity")
 
 
+@query(_with_index("SELECT site_id, token, term, place, round(confidence, 6) AS confidence FROM fuzzy", more=_SIMILAR))
+def fuzzy_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for many tokens: equi-joins on prefixes and on what deletions leave."""
+    rows = s.fuzzy_terms(corpus.index_of(spark, sf_dir), _asked(spark), False)
+    return _rounded(rows.select("site_id", "token", "term", *_long("place"), "confidence"), "confidence")
+
+
 @query(_with_index(f"SELECT site_id, token, term, levenshtein(token, term) AS distance FROM near_terms WHERE {oracle.CLOSE}", more=_SIMILAR))
 def edit_distance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.similar_terms(corpus.index_of(spark, sf_dir), _asked(spark), True)
@@ -211,6 +224,23 @@ def search_criteria_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(s.search(corpus.index_of(spark, sf_dir), "thtion", EN, good), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
+_RAW = [("",), ("0",), (" ",), (None,), ("00",), ("thtion",), ("0 thtion",), (" the 0 ",)]
+_RAW_SQL = "SELECT (row_number() OVER ())::INTEGER AS query_id, 2 AS site_id, text FROM (VALUES {}) AS v(text)".format(", ".join("(NULL)" if q is None else f"('{q}')" for (q,) in _RAW))
+
+
+@query(f"{oracle.ranked(_RAW_SQL)}\nSELECT q.query_id, count(r.element_id) AS n_results FROM q LEFT JOIN ranked r ON r.query_id = q.query_id GROUP BY q.query_id")
+def query_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings that are no query, or have no tokens, find nothing."""
+    asked = spark.createDataFrame([(k + 1, EN, q) for k, (q,) in enumerate(_RAW)], "query_id int, site_id int, text string")
+    found = s.search_batch(corpus.index_of(spark, sf_dir), asked).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_results"))
+
+
+@query(f"{oracle.ranked('SELECT 0 AS query_id, site_id, text FROM (VALUES (1), (2), (3), (4)) AS v(site_id), (SELECT ' + chr(39) + 'oument thtion' + chr(39) + ' AS text)')}\nSELECT site_id, element_id, round(score, 6) AS score, rank FROM ranked")
+def search_several_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(s.search_sites(corpus.index_of(spark, sf_dir), "oument thtion", [DE, EN, ES, FR, EN]), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(oracle.count("thandble attion", EN))
 def search_result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.count_results(corpus.index_of(spark, sf_dir), "thandble attion", EN)
@@ -230,10 +260,10 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = r"""SELECT 'document' AS element_type, doc_id AS element_id, CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 ELSE 0 END AS site_id,
-  coalesce(toxic, 0) <> 1 AND trim(regexp_extract(text, '^[^.\n]*', 0)) <> '' AS indexable FROM documents LEFT JOIN labels USING (doc_id)
-UNION ALL SELECT 'page', page_id, 1, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> '' FROM pages
-UNION ALL SELECT 'part', p_partkey, 1, trim(p_name) <> '' FROM part
-UNION ALL SELECT 'message', conv_id * 1000 + turn, 1, true FROM conversations"""
+  coalesce(toxic, 0) <> 1 AND regexp_extract(text, '^[^.\n]*', 0) NOT IN ('', '0') AND doc_id <> 0 AND lang IN ('de', 'en', 'es', 'fr') AS indexable FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'page', page_id, 1, regexp_extract(html, '<title>([^<]*)</title>', 1) NOT IN ('', '0') AND page_id <> 0 FROM pages
+UNION ALL SELECT 'part', p_partkey, 1, p_name NOT IN ('', '0') AND p_partkey <> 0 FROM part
+UNION ALL SELECT 'message', conv_id * 1000 + turn, 1, conv_id * 1000 + turn <> 0 FROM conversations"""
 
 
 @query(f"SELECT element_type, element_id, site_id FROM ({_ALL}) WHERE indexable")
@@ -246,9 +276,43 @@ def index_union_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.all_elements(spark, sf_dir).groupBy("element_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS element_id, p_brand || ' ' || p_type AS text FROM part")
+# titles: null, "", "0", " ", "00" or a name, by part; a draft now and then; brand and type as fields, one of them not searchable for some
+_ODD_TITLE = "CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN ' ' WHEN 4 THEN '00' ELSE p_name END"
+_ODD_SIZE = "CASE p_partkey % 5 WHEN 0 THEN '0' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE cast(p_size AS {}) END"
+
+
+def _odd_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = el.elements(
+        corpus.table(spark, sf_dir, "part"), "odd", F.col("p_partkey"), F.expr("CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END"), F.expr(_ODD_TITLE), {"brand": F.col("p_brand"), "type": F.col("p_type")}, {"size": F.expr(_ODD_SIZE.format("string"))},
+        is_draft=F.col("p_partkey") % 13 == 0, is_revision=F.col("p_partkey") % 17 == 0, is_provisional=F.col("p_partkey") % 19 == 0, enabled_for_site=F.col("p_partkey") % 23 != 0, has_titles=F.col("p_partkey") % 3 != 0,
+    )
+    # the type of every fourth part isn't searchable
+    hidden = F.transform("fields", lambda x: x.withField("searchable", (x["handle"] != "type") | (F.col("element_id") % 4 != 0)))
+    return rows.withColumn("fields", hidden)
+
+
+@query(f"""SELECT p_partkey AS element_id FROM part WHERE p_partkey <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND p_partkey % 23 <> 0
+  AND (p_partkey % 3 = 0 OR coalesce({_ODD_TITLE}, '') NOT IN ('', '0'))""")
+def indexable_odd_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _odd_parts(spark, sf_dir).filter(el.indexable()).select("element_id")
+
+
+_TEXT = "concat_ws(' ', nullif(nullif({}, ''), '0'), CASE WHEN {} THEN p_brand END, CASE WHEN {} THEN p_type END)"
+_SEARCHABLE = f"""SELECT p_partkey AS element_id, {_TEXT.format(_ODD_SIZE.format('VARCHAR'), 'true', 'p_partkey % 4 <> 0')} AS every_field,
+  {_TEXT.format(_ODD_SIZE.format('VARCHAR'), 'false', 'p_partkey % 4 <> 0')} AS one_field, {_TEXT.format(_ODD_SIZE.format('VARCHAR'), 'false', 'false')} AS no_field FROM part"""
+
+
+@query(_SEARCHABLE)
 def searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.part_elements(spark, sf_dir).select("element_id", el.searchable_text().alias("text"))
+    """Attributes and fields; those that are searchable, those asked for, and none."""
+    return _odd_parts(spark, sf_dir).select("element_id", el.searchable_text().alias("every_field"), el.searchable_text(["type", "unknown"]).alias("one_field"), el.searchable_text([]).alias("no_field"))
+
+
+@query(f"""SELECT element_id, every_field AS text, len(list_filter({oracle.tokens('every_field')}, lambda t: t NOT IN ({oracle.STOP})))::BIGINT AS n_tokens FROM ({_SEARCHABLE}) WHERE element_id <> 0""")
+def index_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of indexing, of elements whatever becomes of them."""
+    rows = _odd_parts(spark, sf_dir).withColumn("site_id", F.lit(1))
+    return trace(rows).select("element_id", "text", *_long("n_tokens"))
 
 
 @query("SELECT p_partkey AS element_id FROM part ORDER BY p_partkey LIMIT 100 OFFSET 200")
@@ -329,7 +393,7 @@ def _change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.elements(events, "part", F.col("user_id"), 1, name, enabled=F.col("event_type") != GONE)
 
 
-_CHANGED = r"""last AS (SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1),
+_CHANGED = r"""last AS (SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id <> 0) WHERE n = 1),
 new AS (SELECT DISTINCT 1 AS site_id, user_id AS element_id, unnest({}) AS term FROM last WHERE event_type <> 'error'),
 after AS (SELECT site_id, element_id, term, freq, in_title FROM postings WHERE element_id NOT IN (SELECT user_id FROM last) UNION ALL SELECT site_id, element_id, term, 1, true FROM new)""".format(oracle.tokens("'changed by ' || event_type || ' ' || event_id"))
 
@@ -342,29 +406,48 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with_index("SELECT site_id, element_id, doc_len FROM doc_stats", "part"))
 def rolling_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds and publishes a version over a live one, then reads what readers see."""
-    folder = f"{_folder(spark)}/rebuild"
-    store = ParquetStore(spark, folder)
+    store = ParquetStore(spark, shared_folder(spark))
     maintain.rebuild(corpus.page_elements(spark, sf_dir), store)
-    return maintain.rebuild(corpus.part_elements(spark, sf_dir), store).doc_stats.select("site_id", "element_id", "doc_len")
+    return maintain.rebuild(corpus.part_elements(spark, sf_dir), store).doc_stats
+
+
+@query(_with_index("SELECT site_id, element_id, doc_len FROM doc_stats WHERE site_id <> 2 UNION ALL SELECT 2, element_id, doc_len FROM doc_stats WHERE site_id = 2 AND element_id % 3 <> 0"))
+def rebuild_one_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site rebuilt from two thirds of its elements: the rest of it is pruned, other sites stay."""
+    store = ParquetStore(spark, shared_folder(spark))
+    elements = corpus.document_elements(spark, sf_dir)
+    maintain.rebuild(elements, store)
+    return maintain.rebuild(elements.filter("site_id <> 2 or element_id % 3 <> 0"), store, site_id=EN).doc_stats
+
+
+def _event_changes(events: DataFrame) -> DataFrame:
+    rows = events.withColumn("seq", F.array(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id").cast("bigint")))
+    name = F.concat(F.lit("changed by "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
+    return el.elements(rows, "part", F.col("user_id"), 1, name, enabled=F.col("event_type") != GONE, keep=["seq"])
 
 
 @query(_with_index("SELECT site_id, element_id, term, freq, in_title FROM after", "part", _CHANGED))
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream of changes, applied in micro-batches to a stored index."""
-    store = ParquetStore(spark, f"{_folder(spark)}/stream")
-    store.write(corpus.index_of(spark, sf_dir, "part"))
+    folder = shared_folder(spark)
+    store = ParquetStore(spark, f"{folder}/stream")
+    maintain.rebuild(corpus.part_elements(spark, sf_dir), store)
     schema = corpus.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("seq", F.struct("ts", "event_id"))
-    name = F.concat(F.lit("changed by "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
-    changes = el.elements(events, "part", F.col("user_id"), 1, name, enabled=F.col("event_type") != GONE, keep=["seq"])
-    index_stream(changes, store, f"{_folder(spark)}/checkpoint").awaitTermination()
-    return store.read().postings
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one; a temporary one where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='sparrowdex-')}/index-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    index_stream(_event_changes(events), store, f"{folder}/checkpoint").awaitTermination()
+    return store.read().postings.drop("doc_len")
+
+
+@query(_with_index("SELECT site_id, term, count(*) AS doc_freq FROM after GROUP BY ALL", "part", _CHANGED))
+def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest half of the events in a batch before the older half: late changes replace nothing newer."""
+    store = ParquetStore(spark, shared_folder(spark))
+    maintain.rebuild(corpus.part_elements(spark, sf_dir), store)
+    events = corpus.table(spark, sf_dir, "events")
+    cut = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for half in (F.col("event_id") > cut, F.col("event_id") <= cut):
+        apply_batch(store, _event_changes(events.filter(half)))
+    return store.read().term_dict.select("site_id", "term", "doc_freq")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,17 +48,22 @@ def batch(df: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def identified() -> Column:
-    return F.col("site_id").isNotNull() & F.col("element_id").isNotNull()
+    """Elements without an id or site, or with 0 for one, are left alone: neither indexed nor removed."""
+    return (F.coalesce("site_id", F.lit(0)) != 0) & (F.coalesce("element_id", F.lit(0)) != 0)
 
 
 def indexable() -> Column:
-    """Whether an element belongs in the index; an identified one that doesn't is taken out of it."""
-    titled = ~F.col("has_titles") | (F.trim(F.coalesce("title", F.lit(""))) != "")
+    """Whether an element belongs in the index; an identified one that doesn't is taken out of it.
+    A title that is null, empty or "0" is none; one of blanks is a title."""
+    titled = ~F.col("has_titles") | ~F.coalesce("title", F.lit("")).isin("", "0")
     return identified() & F.col("enabled") & F.col("enabled_for_site") & ~F.col("is_draft") & ~F.col("is_revision") & ~F.col("is_provisional") & titled
 
 
 def searchable_text(handles: list[str] | None = None) -> Column:
-    """Attributes, then searchable fields (only `handles`, if given), each after a space. "0" and empty values are skipped."""
+    """Attributes, then searchable fields, each after a space. "0" and empty values are skipped.
+
+    `handles` names the fields to take; unknown and unsearchable ones are ignored, and an empty
+    list takes none. None takes all searchable fields, which is what a save or a rebuild asks for."""
 
     def filled(x: Column) -> Column:
         return x["value"].isNotNull() & ~x["value"].isin("", "0")

@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.maintain import latest, upsert
-from ..settings import DEFAULT, Settings
 
+def apply_batch(store, batch: DataFrame, order: str = "seq"):
+    """Last change per element, as one upsert and one published version. The store keeps each
+    element's sequence number: an older change that comes in a later batch is ignored, and
+    applying a batch again gives the same index, so a restarted stream does no harm."""
+    return store.upsert(batch, order=order)
 
-def apply_batch(store, batch: DataFrame, settings: Settings = DEFAULT, order: str = "seq"):
-    """Last change per element, then one upsert and one published version. Applying a
-    batch again gives the same index, so a restarted stream does no harm."""
-    return store.write(upsert(store.read(settings), latest(batch, order).drop(order)))
 
-
-def index_stream(changes: DataFrame, store, checkpoint: str, settings: Settings = DEFAULT, order: str = "seq", trigger: dict | None = None) -> StreamingQuery:
-    """Starts the stream. `changes` has the element columns and a sequence column."""
+def index_stream(changes: DataFrame, store, checkpoint: str, order: str = "seq", trigger: dict | None = None) -> StreamingQuery:
+    """Starts the stream. `changes` has the element columns and a sequence column (a number or an array of numbers)."""
 
     def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            apply_batch(store, batch, settings, order)
+        apply_batch(store, batch, order)
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
