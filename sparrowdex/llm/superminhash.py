@@ -259,22 +259,28 @@ class Classes:
     """The classes of equal token sequences in some texts, and the edges between similar ones."""
 
     def __init__(self, texts: DataFrame, earlier: DataFrame | None, shingle: int, bands: int, rows: int, threshold: float):
-        """`earlier` texts count for the ids that `texts` holds, unless they are the same."""
+        """An id with one `earlier` text, and no other, is judged by that instead of its text."""
         self.work = work = Workspace(texts.sparkSession, "superminhash")
         run = _sketch(shingle, bands, rows)
-        sketch = work.save(texts.mapInArrow(run, _SKETCH).withColumn("own", F.lit(1)), "sketch")
+        sketch = every = work.save(texts.mapInArrow(run, _SKETCH), "sketch")
+        every = every.groupBy(*KEY, "same", "same2").agg(F.count("*").alias("copies"))
         if earlier is not None:
-            earlier = earlier.filter("absent = 0")
-            now = sketch.filter("absent = 0").select(F.col("id").alias("now_id"), F.col("row").alias("now_row"))
-            more = earlier.mapInArrow(run, _SKETCH).join(now, (F.col("id") == F.col("now_id")) & (F.col("row") != F.col("now_row")), "left_semi")
-            sketch = sketch.unionByName(work.save(more.withColumn("own", F.lit(0)), "earlier"))
-            texts = texts.union(earlier)
+            before = work.save(earlier.filter("absent = 0").mapInArrow(run, _SKETCH), "earlier")
+            known = sketch.filter("absent = 0").select("id")
+            sole = before.groupBy("id").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("same").alias("was"), F.min("same2").alias("was2")).filter("lo = hi")
+            sole = work.save(sole.join(known, "id", "left_semi").select("id", "was", "was2"), "sole")
+            own = sketch.join(sole.select(F.col("id").alias("sole_id")), (F.col("absent") == 0) & (F.col("id") == F.col("sole_id")), "left_anti")
+            sketch = before.join(sole.select("id"), "id", "left_semi").select(*sketch.columns)
+            if own.isEmpty():
+                texts = earlier
+            else:
+                sketch, texts = sketch.unionByName(own), texts.union(earlier)
+            every = every.join(sole.withColumn("none", F.lit(0)), (F.col("absent") == F.col("none")) & (every["id"] == sole["id"]), "left").select(*[every[k] for k in KEY], "copies", F.coalesce("was", "same").alias("same"), F.coalesce("was2", "same2").alias("same2"))
         # rows are combined before the shuffle: a text that very many rows share is one row per task
         same = sketch.groupBy("same", "same2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("low").alias("low"), F.first("keys").alias("keys"))
         # numbers are final once they are written
         self.table = work.save(same.select("same", "same2", "rep.*", "low", "keys").withColumn("node", F.monotonically_increasing_id()), "classes")
-        every = sketch.groupBy("own", *KEY, "same", "same2").agg(F.count("*").alias("copies"))
-        self.members = work.save(every.join(self.table.select("same", "same2", "node"), ["same", "same2"]).select("own", *KEY, "copies", "node"), "members")
+        self.members = work.save(every.join(self.table.select("same", "same2", "node"), ["same", "same2"]).select(*KEY, "copies", "node"), "members")
         self.near = self._edges(texts, shingle, bands * rows, threshold)
 
     def _edges(self, texts: DataFrame, shingle: int, m: int, threshold: float) -> DataFrame:
@@ -299,9 +305,9 @@ class Classes:
         work.drop(found, buckets, open_)
         return near.select("a", "b").union(rest.select("a", "b"))
 
-    def rooted(self, links: DataFrame) -> DataFrame:
+    def rooted(self, links: DataFrame | None = None) -> DataFrame:
         """The members with the root of their group, over the similar pairs and `links`."""
-        roots = components(self.near.union(links.select("a", "b")), self.work)
+        roots = components(self.near if links is None else self.near.union(links.select("a", "b")), self.work)
         return self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -324,14 +330,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ea
     """The rows of `docs`, all columns, without those that a group's least row, or an equal row, stands for.
 
     `earlier` holds the texts (same column names) that the documents had before some of their
-    lines were taken out. Two documents are then similar if their present or their earlier
-    texts are. An id with several earlier texts is judged by its present ones alone."""
+    lines were taken out. A document is then judged by its earlier text; one without an id, or
+    whose id has no earlier text or several, by its present one."""
     before = None if earlier is None else _texts(earlier, id_col, text_col)
     c = Classes(_texts(docs, id_col, text_col), before, shingle, bands, rows, threshold)
-    named = c.members.filter("absent = 0")
-    was = named.filter("own = 0").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a = most")
-    links = was.join(named.filter("own = 1").select("id", F.col("node").alias("b")), "id").filter("a <> b").select("a", "b")
-    rooted = c.work.save(c.rooted(links).filter("own = 1").select(*KEY, "copies", "root"), "rooted")
+    rooted = c.work.save(c.rooted().select(*KEY, "copies", "root"), "rooted")
     kept = rooted.groupBy("root").agg(F.min(F.struct(*KEY)).alias("kept"))
     marked = rooted.join(kept, "root").withColumn("stays", F.struct(*KEY) == F.col("kept"))
     out = c.work.save(marked.filter("not stays or copies > 1").select(*[F.col(k).alias(f"__{k}") for k in KEY], "stays"), "out")

@@ -71,10 +71,8 @@ def test_pipeline_matches_brute_force(spark):
     good = {r["doc_id"] for r in quality_model.scores(docs, model).filter("keep").collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
     lines = [(i, t) for i, t, n, dropped in dedup_lines(rows) if n == 0 or dropped < n]
-    now, _ = near_groups(lines)
     left = {i for i, _ in lines}
-    was, _ = near_groups([r for r in rows if r[0] in left])
-    group = components(left, [*now, *was])
+    _, group = near_groups([r for r in rows if r[0] in left])  # by the texts before lines were taken out
     once = [(i, t) for i, t in lines if group[i] == i]
     leaky = {d for d, _ in leaks(once, [(r["item_id"], r["text"]) for r in bench.collect()])}
     want = {i: len(t.encode()) + 1 for i, t in once if i not in leaky}
