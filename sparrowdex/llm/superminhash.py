@@ -15,11 +15,13 @@ Plan:
 3. (band, bucket) rows of the classes: a combined aggregate finds the least class of
    each bucket, its hub, and a join brings it to the other members, numbers only;
 4. only texts of classes that share a bucket are fetched, once each;
-5. every hub is paired with the other members of its buckets; pairs are verified
-   by exact Jaccard similarity of the full shingle sets and united;
+5. every class is paired with the least of its hubs, then, where that didn't bring them
+   together, with the others; pairs are verified by exact Jaccard similarity of the full
+   shingle sets and united. So a text of a large cluster meets one other, not one a band;
 6. where a bucket still has members of several components, all pairs across
    components are verified as well. Pairs inside a component need no check, as
-   they can't change the grouping: the groups are exactly the connected
+   they can't change the grouping, and aren't made, as the largest component of a
+   bucket is never joined with itself: the groups are exactly the connected
    components of all verified candidate pairs, without a pair per two copies.
 
 Before a pair's texts are compared, 8-bit parts of the two signatures are: a pair is
@@ -80,6 +82,10 @@ def signatures(doc: np.ndarray, element: np.ndarray, n_docs: int, m: int) -> np.
         ks, stood = [x[on] for x in (*ks, k)], [x[on] for x in (*stood, here)]
         if not len(doc):
             return sig.reshape(n_docs, m)
+        if level == 1:  # few documents are left, those that repeat their elements among them: each counts once from here on
+            one = _distinct(doc, element)
+            doc, element = doc[one], element[one]
+            ks, stood = [x[one] for x in ks], [x[one] for x in stood]
     lo = 0
     while lo < len(doc):  # blocks of whole documents
         hi = min(lo + (1 << 15), len(doc))
@@ -89,6 +95,13 @@ def signatures(doc: np.ndarray, element: np.ndarray, n_docs: int, m: int) -> np.
     return sig.reshape(n_docs, m)
 
 
+def _distinct(doc: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """Places of one of each (document, element), in the documents' order."""
+    order = np.lexsort((element, doc))
+    d, e = doc[order], element[order]
+    return order[np.append(True, (d[1:] != d[:-1]) | (e[1:] != e[:-1]))]
+
+
 def _finish(doc, element, before, n_docs, m, sig) -> None:
     """The levels after those in `before`, with each element's permutation in full (Fisher-Yates)."""
     perm = np.tile(np.arange(m, dtype=np.int16), (len(doc), 1))
@@ -195,6 +208,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(shingle, threshold), "a long, b long, jaccard double")
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """The pairs (a < b) of different roots in the same bucket, from (key, node, root). The root
+    with most members in a bucket is joined with the others only: what the join makes is at most
+    twice the pairs that it is for, however large a component."""
+    main = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main")).select("key", F.col("main.root").alias("main"))
+    x = members.join(main, "key").filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
+    y = members.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"))
+    return x.join(y, "key").filter("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _forest(batches):
     """Union-find over the edges of one partition: a star for each local component."""
     parent: dict[int, int] = {}
@@ -292,18 +315,23 @@ class Classes:
         needed = buckets.select("node").distinct().join(self.table.select(*KEY, "node"), "node")
         once = texts.groupBy(*KEY).agg(F.first("text").alias("text"))
         found = work.save(once.join(needed, KEY).select("node", "text"), "texts")
-        pairs = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        near = work.save(_verified(_agree(pairs, low, m, threshold), found, shingle, threshold), "near")
+        pairs = work.save(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        near = work.save(_verified(_agree(least, low, m, threshold), found, shingle, threshold).select("a", "b"), "near")
+        roots = components(near, work)
+        root_a, root_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        apart = pairs.join(least.select(F.col("a").alias("least"), "b"), "b").filter("a <> least").join(root_a, "a", "left").join(root_b, "b", "left")
+        apart = apart.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+        more = work.save(_verified(_agree(apart, low, m, threshold), found, shingle, threshold).select("a", "b"), "more")
+        near = near.union(more)
         # buckets that still hold several components
-        roots = components(near.select("a", "b"), work)
+        roots = components(near, work)
         member = buckets.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
         several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         open_ = work.save(member.join(several, "key").filter("node <> hub").select("key", "node", "root"), "open")
-        x, y = (open_.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        across = x.join(y, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-        rest = work.save(_verified(_agree(across, low, m, threshold), found, shingle, threshold), "rest")
-        work.drop(found, buckets, open_)
-        return near.select("a", "b").union(rest.select("a", "b"))
+        rest = work.save(_verified(_agree(_across(open_), low, m, threshold), found, shingle, threshold).select("a", "b"), "rest")
+        work.drop(found, buckets, open_, pairs)
+        return near.union(rest)
 
     def rooted(self, links: DataFrame | None = None) -> DataFrame:
         """The members with the root of their group, over the similar pairs and `links`."""

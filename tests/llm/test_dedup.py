@@ -1,5 +1,6 @@
 import random
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -201,6 +202,25 @@ def test_earlier_texts_count_too(spark):
     assert sorted(r["doc_id"] for r in superminhash.keep_one(documents(spark, after)).collect()) == [1, 2, 3, 5, 6]  # 4 resembles 3 by now
 
 
+def test_a_repeated_word_holds_no_permutation_each():
+    """One shingle, however often it occurs, gives the signature of its set in the memory of its tokens."""
+    n = 500_000
+    tracemalloc.start()
+    got = superminhash.signatures(np.zeros(n, np.int64), np.full(n, 7, np.uint64), 1, 160)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == superminhash.signatures(np.zeros(1, np.int64), np.full(1, 7, np.uint64), 1, 160)).all()
+    assert peak < 200 * n
+
+
+def test_pairs_across_components(spark):
+    rng = random.Random(4)
+    rows = [(key, node, node % roots) for key, roots in ((1, 2), (2, 5), (3, 1)) for node in rng.sample(range(200), 40)]
+    rows += [(4, node, 0) for node in range(300, 330)] + [(4, 400, 1), (4, 401, 1), (4, 402, 2)]
+    want = {(a, b) for k, a, r in rows for j, b, s in rows if k == j and r != s and a < b}
+    assert sorted(map(tuple, superminhash._across(spark.createDataFrame(rows, "key long, node long, root long")).collect())) == sorted(want)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)]
