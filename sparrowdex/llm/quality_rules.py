@@ -17,8 +17,12 @@ vocabulary, and of a fixed size however many documents there are.
 
 What a task holds is one counter for each language's candidate words and, for a piece
 of its texts, the words that occur in each: neither grows with languages x words. The
-references are broadcast; their size is bounded by 4 / `common` words a language, and
-only the `max_languages` with the most documents have one.
+references of `at_once` languages are broadcast together, those with the most documents
+first; their size is bounded by 4 / `common` words a language. Where there are more
+languages, the rows of the rest are written in sets of about as many languages, and each
+set is judged in the same way on its own: every language has a reference, and no step
+holds more than a set of them. `max_languages`, where a caller gives it, leaves only so
+many a reference.
 
 Defined results: a null, empty or wordless text has null distances (the distance of its
 characters where it has any) and is kept; texts of any length are read whole. Null and
@@ -29,6 +33,8 @@ passed through, null ones too. Empty tables give no rows; extra columns are neve
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,8 +43,9 @@ from pyspark.sql import functions as F
 
 from ._heavy import Heavy, merged, partitions
 from ._tokens import Tokens, chunks, hash_words
+from ._work import Workspace
 
-COMMON, MIN_CHARS, MIN_WORDS, MAX_LANGUAGES = 0.004, 200, 50, 256
+COMMON, MIN_CHARS, MIN_WORDS, AT_ONCE = 0.004, 200, 50, 256
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK = 0.15, 1.5, 0.28, 0.8
 CLASSES = ["lower", "upper", "digit", "space", "punct", "other"]
 _class = np.full(256, 6, np.int64)  # 6: continuation bytes, not counted
@@ -180,11 +187,12 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((sp[:, 0] > 0) & (sq[:, 0] > 0), out, np.nan)
 
 
-def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: float = COMMON, max_languages: int = MAX_LANGUAGES) -> Reference:
+def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: float = COMMON, max_languages: int | None = None) -> Reference:
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
-    if len(most) > max_languages:  # else every language has a reference
-        rows = rows.filter(F.col("lang").isin([r["lang"] for r in most[:max_languages]]))
+    if max_languages is not None:
+        most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+        if len(most) > max_languages:  # else every language has a reference
+            rows = rows.filter(F.col("lang").isin([r["lang"] for r in most[:max_languages]]))
     size = int(4 / common)  # a word with the share `common` is kept by a summary of 1 / common counters already
     first = frequent(rows, _candidates(size), size)
     chars = {r["lang"]: list(r["chars"]) for r in first}
@@ -208,14 +216,15 @@ def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", c
         name = names[start.lang[r["entry"]]]
         if r["n"] >= common * total[name]:
             words[name][int(start.hash[r["entry"]])] = r["n"]
+    shared.destroy()
     return Reference(chars, total, words)
 
 
-def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: float = COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, char_slack: float = CHAR_SLACK, word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: float = COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, char_slack: float = CHAR_SLACK, word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK, max_languages: int | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, n_chars, n_words, char_distance, word_distance, keep) of every row, distances rounded to 6 digits."""
-    shared = docs.sparkSession.sparkContext.broadcast(reference(docs, text_col, lang_col, common, max_languages))
+    spark = docs.sparkSession
 
-    def run(batches):
+    def run(shared, batches):
         ref = shared.value
         for batch in batches:
             lang = ref.codes(batch.column(2))
@@ -227,7 +236,30 @@ def divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(chars), pa.array(words), pa.array(cd, from_pandas=True), pa.array(wd, from_pandas=True), pa.array(keep)], names=["doc_id", "n_chars", "n_words", "char_distance", "word_distance", "keep"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_words long, char_distance double, word_distance double, keep boolean")
+
+    def judged(own: DataFrame, shared) -> DataFrame:
+        return own.mapInArrow(partial(run, shared), "doc_id long, n_chars long, n_words long, char_distance double, word_distance double, keep boolean")
+
+    first = reference(docs, text_col, lang_col, common, at_once if max_languages is None else max_languages)
+    shared = spark.sparkContext.broadcast(first)
+    if max_languages is not None or len(first.langs) < at_once:
+        return judged(rows, shared)
+    known = F.col("lang").isin(list(first.langs))
+    n = rows.filter(~known).select("lang").distinct().count()
+    if not n:
+        return judged(rows, shared)
+    work, sets = Workspace(spark, "languages"), -(-n // at_once)
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // sets)  # tasks that a set's rows are written by
+    rest = rows.filter(~known).withColumn("part", F.pmod(F.xxhash64("lang"), F.lit(sets)).cast("int"))
+    rest = work.save(rest.repartition(F.col("part"), F.pmod(F.xxhash64("text", "doc_id"), F.lit(spread))), "rest", ["part"])
+    out = judged(rows.filter(known), shared)
+    for k in range(sets):
+        own = rest.filter(F.col("part") == k).drop("part")
+        held = spark.sparkContext.broadcast(reference(own, common=common))
+        out = out.union(work.save(judged(own, held), f"set{k}"))
+        held.destroy()
+    work.drop(rest)
+    return out
 
 
 _N = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^ \t-\r]", "other": r"[\x00-\x7f]"}

@@ -237,6 +237,19 @@ def test_many_languages_and_those_without_a_reference(spark):
     assert peak[1] < 1.5 * peak[0]
 
 
+def test_more_languages_than_are_judged_at_once(spark):
+    """Every language has a reference of its own, however many there are."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices([f"w{k % 300}x{j}" for j in range(9)], k=20)), f"l{k % 300}") for k in range(600)] + [(None, "no id " * 9, "l7"), (600, None, "l8"), (601, "", None), (602, "x y", "")]
+    got = sorted((str(r["doc_id"]), r["n_chars"], r["n_words"], r["char_distance"] or 0, r["word_distance"] or 0) for r in quality_rules.divergence(documents(spark, rows)).collect())
+    plain = slow_distances([(t, x or "") for _, t, x in rows], quality_rules.COMMON)
+    want = sorted((str(i), c, w, cd or 0, wd or 0) for (i, _, _), (c, w, cd, wd) in zip(rows, plain))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in want], atol=2e-6)
+    few = quality_rules.divergence(documents(spark, rows[:60]), at_once=25).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, quality_rules.divergence(documents(spark, rows[:60])).collect()))
+
+
 def test_divergence_odd_rows(spark):
     odd = documents(spark, ODD, clashing=True)
     rows = {r["doc_id"]: r for r in quality_rules.divergence(odd).collect()}
