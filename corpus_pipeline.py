@@ -30,9 +30,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that was similar before lines were taken out: of a near copy,
-    only the lines that differ are left by then, which nothing resembles any more."""
-    return superminhash.keep_one(docs, earlier=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """One document of each group that was similar before lines were taken out (of a near copy,
+    only the lines that differ are left by then, which nothing resembles any more), and of
+    those that stay, one of each group whose texts are similar now."""
+    work = Workspace(spark, "near_dedup")
+    once = work.save(superminhash.keep_one(docs, earlier=spark.read.parquet(f"{sf_dir}/documents.parquet")), "once")
+    return superminhash.keep_one(once)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

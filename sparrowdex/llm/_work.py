@@ -39,15 +39,17 @@ class Workspace:
     """Tables of one operator call, in a folder of their own under the shared one.
 
     `save` cuts lineage by writing Parquet and reading it back: it survives the
-    loss of any executor. `drop` frees a table that later steps don't need; the
-    rest goes when the session's process ends."""
+    loss of any executor. `drop` and `keep` free tables that later steps don't
+    need; the rest goes when the session's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: list[str] = []
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        self.saved.append(path)
         schema = df.schema
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -59,6 +61,14 @@ class Workspace:
         for t in tables:
             remove(self.spark, t._sparrowdex_path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Frees all tables but these."""
+        kept = [t._sparrowdex_path for t in tables]
+        for path in self.saved:
+            if path not in kept:
+                remove(self.spark, path)
+        self.saved = kept
+
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

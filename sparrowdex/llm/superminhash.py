@@ -366,6 +366,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ea
     kept = rooted.groupBy("root").agg(F.min(F.struct(*KEY)).alias("kept"))
     marked = rooted.join(kept, "root").withColumn("stays", F.struct(*KEY) == F.col("kept"))
     out = c.work.save(marked.filter("not stays or copies > 1").select(*[F.col(k).alias(f"__{k}") for k in KEY], "stays"), "out")
+    c.work.keep(out)
 
     def same(df: DataFrame) -> Column:
         i = df[id_col].cast("long")

@@ -98,6 +98,18 @@ def test_pipeline_stages_keep_columns_and_survive_odd_tables(spark):
         assert (out.count() > 0) == bool(table)
 
 
+def test_near_duplicates_by_the_texts_that_line_dedup_leaves(spark, tmp_path):
+    """What line dedup leaves counts too: texts that resemble each other only then don't both go on."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    shared, left, near = line(300), line(60), line(40)
+    before = [(1, f"{line(200)}\n{left}"), (2, f"{line(200)}\n{left} tail"), (3, f"{near}\n{shared}"), (4, f"{line(30)}\n{shared}"), (5, line(50))]
+    after = [(1, left), (2, f"{left} tail"), (3, before[2][1]), (4, before[3][1].split("\n")[0]), (5, before[4][1])]
+    documents(spark, before).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, after, clashing=True), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]  # 4 was a near copy of 3
+
+
 def test_registered_queries(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     ours = [q for q in queries if q.startswith("op") and q[2].isdigit()]
