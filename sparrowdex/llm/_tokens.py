@@ -88,7 +88,7 @@ class Tokens:
             self.start = self.end = self.doc = np.zeros(0, np.int64)
             self.hash, self.cls = np.zeros(0, U), np.zeros(0, np.uint8)
             return
-        cls = classes[data]
+        cls = np.take(classes, data)
         new = np.empty(n, bool)
         new[0] = True
         np.not_equal(cls[1:], cls[:-1], out=new[1:])
@@ -98,11 +98,13 @@ class Tokens:
         kinds = cls[b]
         keep = kinds != 0
         self.start, self.end, self.cls = b[keep], np.append(b[1:], n)[keep], kinds[keep]
-        self.doc = np.searchsorted(offs, self.start, side="right") - 1
+        self.doc = np.repeat(np.arange(self.n_docs), np.diff(np.searchsorted(self.start, offs)))
         p, inverse = _powers(n)
         c = np.empty(n + 1, U)
         c[0] = 0
-        np.cumsum(values[data] * p, out=c[1:])
+        x = np.take(values, data)
+        x *= p
+        np.cumsum(x, out=c[1:])
         self.hash = mix((c[self.end] - c[self.start]) * inverse[self.start])
 
     def counts(self) -> np.ndarray:

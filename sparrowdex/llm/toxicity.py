@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._heavy import Heavy, merged, partitions
-from ._tokens import Tokens, chunks, hash_words
+from ._tokens import Tokens, chunks, hash_words, mix
 from ._work import Workspace
 from .quality_rules import _Langs, _word, frequent
 
@@ -70,6 +70,14 @@ def _key(lang: np.ndarray, h: np.ndarray) -> np.ndarray:
     return h ^ ((lang.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _once(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens sorted by a 64-bit key of their document and word, and where each key starts: one sort, in no order that matters."""
+    key = mix(t.hash ^ (t.doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
 def _frequent(size: int):
     """Per task and language: number of documents, and a summary of the documents each word is in."""
 
@@ -79,10 +87,9 @@ def _frequent(size: int):
             code = langs.codes(batch.column(1))
             for lo, hi, data, offs in chunks(batch.column(0)):
                 own, t = code[lo:hi], Tokens(data, offs)
-                order = np.lexsort((t.hash, t.doc))
+                order, start = _once(t)
+                order = order[start]
                 d, h = t.doc[order], t.hash[order]
-                new = np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])) if len(d) else np.zeros(0, bool)
-                d, h, order = d[new], h[new], order[new]
                 for k, n in zip(*np.unique(own, return_counts=True)):
                     docs[int(k)] = docs.get(int(k), 0) + int(n)
                     at = np.flatnonzero(own[d] == k)
@@ -395,10 +402,10 @@ def _tally(rows: DataFrame, start: Vocabulary, label: tuple[np.ndarray, np.ndarr
                             ok = (to >= 0) & (to < len(near))
                             ok[ok] = t.doc[to[ok]] == t.doc[at[ok]]
                             near[to[ok]] = True
-                order = np.lexsort((~near, t.hash, t.doc))  # of a document's equal words one in toxic company comes first
-                d, h = t.doc[order], t.hash[order]
-                order = order[np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))]
-                own, near = lang[lo:hi][t.doc[order]], near[order]
+                order, start = _once(t)
+                near = np.logical_or.reduceat(near[order], start)  # whether any of a document's equal words is in toxic company
+                order = order[start]
+                own = lang[lo:hi][t.doc[order]]
                 k = _key(own, t.hash[order])
                 x, first = np.unique(k[near], return_index=True)
                 at = order[near][first]

@@ -1,12 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import documents, loaded, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparrowdex.llm import langid, quality_model, quality_rules, toxicity
-from sparrowdex.llm._tokens import CASED, RUNS, Tokens
+from sparrowdex.llm._tokens import CASED, RUNS, Tokens, chunks
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -289,6 +292,19 @@ def test_cooccurrence_matches_brute_force(spark):
         assert got == want
 
 
+@given(st.lists(st.text(alphabet="ab é", max_size=30), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_words_of_each_document_once(texts):
+    column = pa.array(texts, pa.string())
+    for lo, hi, data, offs in chunks(column):
+        t = Tokens(data, offs)
+        assert t.doc.tolist() == (np.searchsorted(offs, t.start, side="right") - 1).tolist()
+        order, start = toxicity._once(t)
+        assert sorted(order.tolist()) == list(range(len(t.doc)))
+        got = [(int(t.doc[k]), int(t.hash[k])) for k in order[start]]
+        assert len(got) == len(set(got)) and set(got) == set(zip(t.doc.tolist(), t.hash.tolist()))
+
+
 def test_walk_and_ppmi():
     edges = (np.array([0, 1, 3]), np.array([1, 2, 3]), np.array([8, 2, 1]))
     x, y, w = toxicity.ppmi(edges, 4, doubt=0)
