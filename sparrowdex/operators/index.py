@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
@@ -19,18 +19,23 @@ TABLES = {
 }
 
 
+_BODY, _TITLE = "\x01", "\x02"
+
+
 @dataclass(frozen=True)
 class Index:
     """postings: one row per site, element and term, holding the forward and the
     inverted index, the title terms and the element's length; doc_stats: element lengths;
     term_dict: the sites' terms with their document frequencies and n-grams. `counted` is
-    (number of documents, their length) over all sites, where a store knows them."""
+    (number of documents, their length) over all sites, where a store knows them; `grouped` the
+    postings by element, where they were made that way."""
 
     postings: DataFrame
     doc_stats: DataFrame
     term_dict: DataFrame
     settings: Settings = DEFAULT
     counted: tuple[int, int] | None = None
+    grouped: DataFrame | None = None
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Index:
         return replace(self, **{n: getattr(self, n).persist(level) for n in TABLES})
@@ -71,21 +76,48 @@ class Index:
         return grams.withColumn("ngram_type", F.char_length("ngram"))
 
 
-def term_rows(elements: DataFrame, handles: list[str] | None = None) -> DataFrame:
-    """(site_id, element_id, term, from_title) for every token of indexable elements:
-    text without stop words, title terms with them, once each."""
-    body = F.transform(text.remove_stop_words(text.tokenize(searchable_text(handles))), lambda t: F.struct(t.alias("term"), F.lit(False).alias("from_title")))
-    title = F.transform(F.array_distinct(text.tokenize(F.col("title"))), lambda t: F.struct(t.alias("term"), F.lit(True).alias("from_title")))
-    return elements.filter(indexable()).select("site_id", "element_id", F.explode(F.concat(body, title)).alias("t")).select("site_id", "element_id", "t.term", "t.from_title")
+def grouped_of(elements: DataFrame, handles: list[str] | None = None) -> DataFrame:
+    """(site_id, element_id, doc_len, found): an indexable element with its terms, as one row.
+
+    Text without stop words, title terms with them, once each; a term that only the title has
+    counts once. The one shuffle moves texts, not words: an element's words are sorted and
+    counted in its row, so that nothing of a corpus's words is held or spilled by a task. Rows
+    of the same element are one; all its text has to fit a row."""
+    rows = elements.filter(indexable()).select("site_id", "element_id", F.struct("title", searchable_text(handles).alias("body")).alias("part"))
+    rows = rows.groupBy("site_id", "element_id").agg(F.collect_list("part").alias("parts"))
+    keys = ["site_id", "element_id"]
+    # a mark behind each word, below all letters and digits, tells and sorts those of the title
+    body = F.transform(F.flatten(F.transform("parts", lambda p: text.remove_stop_words(text.tokenize(p["body"])))), lambda t: F.concat(t, F.lit(_BODY)))
+    title = F.transform(F.array_distinct(F.flatten(F.transform("parts", lambda p: text.tokenize(p["title"])))), lambda t: F.concat(t, F.lit(_TITLE)))
+    rows = rows.select(*keys, F.sort_array(F.concat(body, title)).alias("marked"))
+    rows = rows.select(*keys, "marked", F.transform("marked", lambda t: F.substring(t, F.lit(1), F.char_length(t) - 1)).alias("words"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    rows = rows.select(*keys, "marked", "words", starts.alias("starts"))
+
+    def one(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("words"))
+        in_title = F.get("marked", end - 1).endswith(_TITLE)
+        return F.struct(F.get("words", start).alias("term"), F.greatest(end - start - in_title.cast("int"), F.lit(1)).cast("long").alias("freq"), in_title.alias("in_title"))
+
+    rows = rows.select(*keys, F.transform("starts", one).alias("found"))
+    return rows.select(*keys, F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + x["freq"]).alias("doc_len"), "found")
+
+
+def group(postings: DataFrame) -> DataFrame:
+    """Postings as `grouped_of` gives them."""
+    return postings.groupBy("site_id", "element_id").agg(F.max("doc_len").alias("doc_len"), F.collect_list(F.struct("term", "freq", "in_title")).alias("found"))
+
+
+def ungroup(grouped: DataFrame) -> DataFrame:
+    """A row for each term; outer, as the optimizer would count the words twice to drop empty rows first."""
+    rows = grouped.select("site_id", "element_id", "doc_len", F.explode_outer("found").alias("t")).filter("t is not null")
+    return rows.select("site_id", "element_id", "t.term", "t.freq", "t.in_title", "doc_len")
 
 
 def postings_of(elements: DataFrame, handles: list[str] | None = None) -> DataFrame:
-    """Term frequencies; a term that only the title has counts once. The one shuffle is by
-    (site, element): an element's terms are counted and its length is summed where they meet."""
-    uses = F.sum(F.when(F.col("from_title"), 0).otherwise(1))
-    rows = term_rows(elements, handles).repartition("site_id", "element_id").groupBy("site_id", "element_id", "term")
-    counted = rows.agg(F.greatest(uses, F.lit(1)).cast("long").alias("freq"), F.max("from_title").alias("in_title"))
-    return counted.withColumn("doc_len", F.sum("freq").over(Window.partitionBy("site_id", "element_id")))
+    """Term frequencies, a row for each element and term."""
+    return ungroup(grouped_of(elements, handles))
 
 
 def trace(elements: DataFrame, handles: list[str] | None = None) -> DataFrame:
@@ -112,7 +144,8 @@ def from_postings(postings: DataFrame, settings: Settings = DEFAULT) -> Index:
 
 
 def build(elements: DataFrame, settings: Settings = DEFAULT, handles: list[str] | None = None) -> Index:
-    return from_postings(postings_of(elements, handles), settings)
+    grouped = grouped_of(elements, handles)
+    return replace(from_postings(ungroup(grouped), settings), grouped=grouped)
 
 
 def bm25_postings(index: Index) -> DataFrame:

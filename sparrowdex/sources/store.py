@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import TABLES, Index, from_postings, postings_of, with_ngrams
+from ..operators.index import TABLES, Index, from_postings, group, grouped_of, ungroup, with_ngrams
 from ..operators.maintain import latest, upsert
 from ..settings import DEFAULT, Settings
 from .elements import elements, identified
@@ -254,21 +254,22 @@ class ParquetStore:
 
     # writing
 
-    def _segment(self, postings: DataFrame, gone: DataFrame | None, seqs: DataFrame | None, settings: Settings, old: DataFrame | None = None) -> str:
-        """Writes a segment: the given postings are evaluated once, all else comes from what was written.
+    def _segment(self, grouped: DataFrame, gone: DataFrame | None, seqs: DataFrame | None, settings: Settings, old: DataFrame | None = None) -> str:
+        """Writes a segment: the given postings by element are evaluated once, all else comes from what was written.
         `gone` (site_id, element_id) are elements without postings, `seqs` their sequence numbers, `old`
         (site_id, term) the terms of the live elements that the segment takes the place of."""
         name = f"seg-{uuid.uuid4().hex}"
         raw = f"{self.path}/{name}/_raw"
-        postings.write.parquet(raw)
-        rows = self.spark.read.schema(TABLES["postings"]).parquet(raw)
-        rows.repartitionByRange("site_id", "term").sortWithinPartitions("site_id", "term").write.partitionBy("site_id").parquet(f"{self.path}/{name}/postings")
-        docs = rows.groupBy(*KEYS).agg(F.max("doc_len").alias("doc_len"), F.collect_list("term").alias("terms"))
+        grouped.write.option("compression", "zstd").parquet(raw)
+        rows = self.spark.read.schema(grouped.schema).parquet(raw).filter(F.size("found") > 0)
+        ungroup(rows).repartitionByRange("site_id", "term").sortWithinPartitions("site_id", "term").write.partitionBy("site_id").parquet(f"{self.path}/{name}/postings")
+        docs = rows.select(*KEYS, "doc_len", F.col("found.term").alias("terms"))
         if gone is not None:
             docs = docs.unionByName(gone.select(*KEYS, F.lit(None).cast("bigint").alias("doc_len"), F.array().cast("array<string>").alias("terms")))
         docs = docs.join(seqs, KEYS, "left") if seqs is not None else docs.withColumn("seq", F.lit(None).cast("array<bigint>"))
         docs.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.partitionBy("site_id").parquet(f"{self.path}/{name}/elements")
-        words = rows.groupBy("site_id", "term").agg(F.count("*").alias("doc_freq"))
+        # by what is sorted by term: nearly every term is counted in one place before the shuffle
+        words = self._table(name, "postings").groupBy("site_id", "term").agg(F.count("*").alias("doc_freq"))
         if old is not None:
             words = words.unionByName(old.groupBy("site_id", "term").agg((-F.count("*")).alias("doc_freq"))).groupBy("site_id", "term").agg(F.sum("doc_freq").alias("doc_freq")).filter("doc_freq <> 0")
         self._put_words(words, name, settings)
@@ -276,7 +277,8 @@ class ParquetStore:
         return name
 
     def _put_words(self, words: DataFrame, name: str, settings: Settings) -> None:
-        with_ngrams(words, settings).repartitionByRange("site_id", "term").sortWithinPartitions("site_id", "term").write.partitionBy("site_id").parquet(f"{self.path}/{name}/words")
+        # n-grams come last: they are many times the words that are moved
+        with_ngrams(words.repartitionByRange("site_id", "term").sortWithinPartitions("site_id", "term"), settings).write.partitionBy("site_id").parquet(f"{self.path}/{name}/words")
 
     def _totals(self, segment: str) -> dict[str, list[int]]:
         rows = self._table(segment, "elements").filter("doc_len is not null").groupBy("site_id").agg(F.count("*"), F.sum("doc_len")).collect()
@@ -307,10 +309,14 @@ class ParquetStore:
     def _version(segments: list[dict], totals: dict, settings: Settings | dict) -> dict:
         return {"schema": SCHEMA_VERSION, "settings": settings if isinstance(settings, dict) else asdict(settings), "segments": segments, "totals": totals}
 
+    @staticmethod
+    def _grouped(index: Index) -> DataFrame:
+        return index.grouped if index.grouped is not None else group(index.postings)
+
     def write(self, index: Index) -> Index:
         """`index` takes the place of all that is stored."""
         with self._lock():
-            name = self._segment(index.postings, None, None, index.settings)
+            name = self._segment(self._grouped(index), None, None, index.settings)
             new = self._version([{"path": name, "level": 0, "replaces": [], "base": True}], self._totals(name), index.settings)
             self._publish(lambda _: new)
         return self.read()
@@ -318,7 +324,7 @@ class ParquetStore:
     def write_site(self, index: Index, site_id: int) -> Index:
         """`index` takes the place of all that is stored of a site; other sites may be written meanwhile."""
         with self._lock(site_id):
-            name = self._segment(index.postings.filter(F.col("site_id") == site_id), None, None, index.settings)
+            name = self._segment(self._grouped(index).filter(F.col("site_id") == site_id), None, None, index.settings)
             own = self._totals(name)
 
             def change(m: dict | None) -> dict:
@@ -366,12 +372,12 @@ class ParquetStore:
                 if rows.isEmpty():
                     return self.read() if m["segments"] else None
                 keys = rows.select(*KEYS).distinct()
-                postings = postings_of(rows, handles)
+                grouped = grouped_of(rows, handles)
                 before = live.join(keys, KEYS, "left_semi") if live is not None else None
                 old = before.select("site_id", F.explode("terms").alias("term")) if before is not None else None
                 # elements without a term have no posting, but are stated
-                stated = keys.join(postings.select(*KEYS).distinct(), KEYS, "left_anti")
-                segment = self._segment(postings, stated, rows.groupBy(*KEYS).agg(F.max("__seq").alias("seq")), settings, old)
+                stated = keys.join(grouped.filter("doc_len > 0").select(*KEYS), KEYS, "left_anti")
+                segment = self._segment(grouped, stated, rows.groupBy(*KEYS).agg(F.max("__seq").alias("seq")), settings, old)
                 gone = before.filter("doc_len is not null").groupBy("site_id").agg(F.count("*"), F.sum("doc_len")).collect() if before is not None else []
                 less = {str(r[0]): (r[1], r[2]) for r in gone}
                 more = self._totals(segment)

@@ -196,3 +196,13 @@ def test_rest_works_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and set(q) == set(e.oracle_sql()) and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=os.environ | {"PYTHONPATH": ""})
+
+
+def test_build_moves_texts_and_not_words(spark):
+    rows = spark.createDataFrame([(1, "oil oil", "Oil of Oil"), (1, "the oil salt", "Salt"), (2, "", "Rose"), (3, "of", None)], "id long, body string, title string")
+    made = build(elements(rows, "entry", F.col("id"), 1, F.col("title"), {"body": F.col("body")}, has_titles=False))
+    plan = made.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    got = {(r["element_id"], r["term"]): (r["freq"], r["in_title"], r["doc_len"]) for r in made.postings.collect()}
+    # rows of one element are one: its words add up, those of its titles count where nothing else has them
+    assert got == {(1, "oil"): (3, True, 5), (1, "salt"): (1, True, 5), (1, "of"): (1, True, 5), (2, "rose"): (1, True, 1)}
